@@ -13,6 +13,7 @@ from .common import table, whole_text
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .pieces import encode_and_decode
+from .quality import held_out, score_quality
 from .simhash import near_duplicates
 from .topk import top_k
 
@@ -100,3 +101,14 @@ WITH whole AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+#: Documents that score less are rejected.
+REJECT_BELOW = 0.3
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(documents, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= REJECT_BELOW).cast("int").alias("predicted"))
