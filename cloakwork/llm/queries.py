@@ -14,6 +14,7 @@ from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .pieces import encode_and_decode
 from .quality import held_out, score_quality
+from .secrets import BASE, KINDS, as_text, scan_secrets
 from .simhash import near_duplicates
 from .topk import top_k
 
@@ -112,3 +113,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(documents, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= REJECT_BELOW).cast("int").alias("predicted"))
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(as_text(F.col("spans"), BASE), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
