@@ -18,10 +18,10 @@ are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import shared_checkpoint, whole_text
 
 SCOPE = 200
 BUCKET = 1024
@@ -72,22 +72,53 @@ def spans(text: Column, kind: str, pattern: str, group: tuple[int, int] | None =
     return F.when(text.rlike(pattern), made.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
-def _supported(parts: DataFrame) -> DataFrame:
-    """The weak parts that complementary parts support: (__key, spans)."""
-    each = parts.select("__key", F.explode("parts").alias("s")).select("__key", "s.start", "s.kind", "s.end")
+def _row_key() -> list[Column]:
+    """A 128-bit hash of doc_id and the whole text; rows with the same key have the same spans."""
+    parts = [F.col("doc_id").isNull(), F.col("doc_id"), whole_text()]
+    return [F.xxhash64(*parts).alias("__a"), F.xxhash64(*reversed(parts), F.lit(1)).alias("__b")]
+
+
+def _free(each: DataFrame) -> DataFrame:
+    """``each`` (a span a row) without weak spans that overlap a base span."""
+    own = Window.partitionBy("__a", "__b")
+    is_base = F.col("kind") < len(BASE)
+    ends = F.max(F.when(is_base, F.col("end"))).over(own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+    starts = F.min(F.when(is_base, F.col("start"))).over(own.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0))
+    marked = each.withColumn("__over", ends).withColumn("__next", starts)
+    overlaps = F.coalesce(F.col("__over") > F.col("start"), F.lit(False)) | F.coalesce(F.col("__next") < F.col("end"), F.lit(False))
+    return marked.where(is_base | ~overlaps).drop("__over", "__next")
+
+
+def _linked(each: DataFrame) -> DataFrame:
+    """The weak spans of ``each`` that complementary spans support, by an interval join within buckets of a row's text."""
     buckets = lambda a, b: F.explode(F.sequence(F.floor(F.greatest(a, F.lit(0)) / BUCKET), F.floor(b / BUCKET)))
-    weak = each.where(F.col("kind") >= len(BASE)).withColumn("bucket", buckets(F.col("start") - SCOPE, F.col("end") + SCOPE))
-    other = each.select(F.col("__key").alias("k2"), F.col("start").alias("start2"), F.col("kind").alias("kind2"), F.col("end").alias("end2")).withColumn("bucket2", buckets(F.col("start2"), F.col("end2")))
+    weak = each.where(F.col("kind") >= len(BASE)).withColumn("__bucket", buckets(F.col("start") - SCOPE, F.col("end") + SCOPE))
+    other = each.select(*[F.col(c).alias(f"{c}2") for c in ("__a", "__b", "start", "kind", "end")])
+    other = other.withColumn("__bucket2", buckets(F.col("start2"), F.col("end2")))
+    same = (F.col("__a") == F.col("__a2")) & (F.col("__b") == F.col("__b2")) & (F.col("__bucket") == F.col("__bucket2"))
     near = (F.col("start2") <= F.col("end") + SCOPE) & (F.col("start") <= F.col("end2") + SCOPE) & (F.col("kind2") != F.col("kind"))
-    pairs = weak.join(other, (F.col("__key") == F.col("k2")) & (F.col("bucket") == F.col("bucket2")) & near)
+    pairs = weak.join(other, same & near)
     has = lambda *kinds: F.bool_or(F.col("kind2").isin(*[KINDS.index(k) for k in kinds]))
-    flags = pairs.groupBy("__key", "start", "kind", "end").agg(has("access").alias("id"), has("assign", "hex").alias("secret"), has("key").alias("key"), has("login").alias("login"), has("endpoint").alias("endpoint"))
+    flags = pairs.groupBy("__a", "__b", "start", "kind", "end").agg(has("access").alias("id"), has("assign", "hex").alias("secret"), has("key").alias("key"), has("login").alias("login"), has("endpoint").alias("endpoint"))
     rule = (
         F.when(F.col("kind") == KINDS.index("key"), F.col("id") | (F.col("login") & F.col("endpoint")))
         .when(F.col("kind") == KINDS.index("login"), F.col("secret") | (F.col("key") & F.col("endpoint")))
         .otherwise(F.col("id") | F.col("secret") | (F.col("login") & F.col("key")))
     )
-    return flags.where(rule).groupBy("__key").agg(F.collect_set(F.struct("start", "kind", "end")).cast(SPAN).alias("linked"))
+    return flags.where(rule).select("__a", "__b", "start", "kind", "end")
+
+
+def _detected(documents: DataFrame) -> DataFrame:
+    """(__a, __b, start, kind, end) of every base and weak span, without repeated rows.
+
+    The spans of a row come out of one explode, so that no later step repeats
+    the matching. They are few against the texts; a checkpoint holds them.
+    """
+    text = whole_text()
+    found = [spans(text, "assign", ASSIGN, (2, 8)), spans(text, "access", ACCESS), spans(text, "hex", HEX)]
+    found += [spans(text, kind, pattern) for kind, pattern in zip(WEAK, (KEY, LOGIN, ENDPOINT), strict=True)]
+    each = documents.select(*_row_key(), F.explode(F.flatten(F.array(*found))).alias("s"))
+    return shared_checkpoint(each.select("__a", "__b", "s.start", "s.kind", "s.end").distinct())
 
 
 def scan_secrets(documents: DataFrame) -> DataFrame:
@@ -100,17 +131,13 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
     spans is replaced. An empty table gives an empty result.
     """
     names = [c for c in documents.columns if c != "spans"]
-    text = whole_text()
-    key = F.struct(F.col("doc_id").alias("d"), F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
-    base = [spans(text, "assign", ASSIGN, (2, 8)), spans(text, "access", ACCESS), spans(text, "hex", HEX)]
-    weak = [spans(text, kind, pattern) for kind, pattern in zip(WEAK, (KEY, LOGIN, ENDPOINT), strict=True)]
-    parts = documents.select(key.alias("__key"), F.flatten(F.array(*base)).alias("base"), F.flatten(F.array(*weak)).alias("weak"))
-    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    parts = parts.where(F.size("weak") > 0).select("__key", F.concat("base", free).alias("parts")).where(F.size("parts") > 1)
-    linked = _supported(parts).select(F.xxhash64("__key").alias("__hash"), F.col("__key").alias("__row"), "linked")
-    found = documents.select(*names, key.alias("__key"), F.flatten(F.array(*base)).alias("__base"))
-    joined = found.join(linked, (F.xxhash64("__key") == F.col("__hash")) & F.col("__key").eqNullSafe(F.col("__row")), "left")
-    return joined.select(*names, F.array_sort(F.concat("__base", F.coalesce("linked", F.array().cast(SPAN)))).alias("spans"))
+    each = _free(_detected(documents))
+    kept = each.where(F.col("kind") < len(BASE)).unionByName(_linked(each))
+    own = kept.groupBy("__a", "__b").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).cast(SPAN).alias("spans"))
+    own = own.select(F.col("__a").alias("__a2"), F.col("__b").alias("__b2"), "spans")
+    keyed = documents.select(*names, *_row_key())
+    joined = keyed.join(own, (F.col("__a") == F.col("__a2")) & (F.col("__b") == F.col("__b2")), "left")
+    return joined.select(*names, F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def as_text(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:
