@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .attribution import token_counts
 from .common import table, whole_text
+from .fingerprints import fingerprint_documents
 from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .pieces import encode_and_decode
@@ -120,3 +121,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(kind))).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(as_text(F.col("spans"), BASE), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
