@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .attribution import token_counts
 from .common import table, whole_text
+from .extraction import extract_main_text
 from .fingerprints import fingerprint_documents
 from .line_dedup import dedup_lines
 from .packing import pack_documents
@@ -126,3 +127,8 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
