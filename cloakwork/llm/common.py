@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,16 +14,27 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder that ``spark.checkpoint.dir`` names.
+def _folder(spark: SparkSession) -> str | None:
+    """What ``spark.checkpoint.dir`` names, or the folder that was set for this session's tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, below the one that ``spark.checkpoint.dir`` names.
 
     Only a local session (tests) may go without that setting; it then gets a
     temporary folder.
     """
+    return f"{_folder(spark) or tempfile.mkdtemp(prefix='cloakwork-')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the folder that ``spark.checkpoint.dir`` names."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if _folder(spark) is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cloakwork-checkpoint-"))
     return df.checkpoint()
 
