@@ -70,12 +70,16 @@ def _halves(fp: Column) -> list[Column]:
     return [fp.bitwiseAND(low), F.shiftrightunsigned(fp, 32) + F.lit(1 << 32)]
 
 
+def _flipped(half: Column, flips: Column) -> Column:
+    return F.transform(flips, lambda x: half.bitwiseXOR(x))
+
+
 def links(classes: DataFrame) -> DataFrame:
     """(u, v) for each two rows of ``classes`` (fp distinct, rep) whose fingerprints differ in one or two bits."""
     fp = F.col("fp")
     stored = classes.select(F.explode(F.array(*_halves(fp))).alias("key"), F.col("fp").alias("other"), F.col("rep").alias("v"))
     flips = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)]])
-    ball = F.flatten(F.array(*[F.transform(flips, lambda x, h=half: h.bitwiseXOR(x)) for half in _halves(fp)]))
+    ball = F.flatten(F.array(*[_flipped(half, flips) for half in _halves(fp)]))
     probes = classes.select("fp", F.col("rep").alias("u"), F.explode(ball).alias("key"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2
     return probes.join(stored.hint("shuffle_hash"), (probes["key"] == stored["key"]) & near & (F.col("u") < F.col("v"))).select("u", "v")

@@ -4,7 +4,7 @@ import xxhash
 
 from cloakwork.llm.components import connected_components
 from cloakwork.llm.queries import op8_simhash
-from cloakwork.llm.simhash import keep_first, near_duplicates
+from cloakwork.llm.simhash import keep_first, links, near_duplicates
 
 from .conftest import ROWS, SF
 
@@ -62,3 +62,22 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(7, 7), (1, 2), (2, 1)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {1: 1, 2: 1}
+
+
+def test_links_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    fps = set()
+    for _ in range(40):
+        base = rng.getrandbits(64)
+        for flips in ((), (0,), (63,), (5, 6), (31, 32), (1, 40), (1, 2, 3), (40, 41, 50), (31, 32, 63)):
+            fp = base
+            for b in flips:
+                fp ^= 1 << b
+            fps.add(fp)
+    fps = sorted(fps | {0, 1, 3, 7, (1 << 64) - 1, (1 << 64) - 2})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(signed(fp), i) for i, fp in enumerate(fps)]
+    got = {(r.u, r.v) for r in links(spark.createDataFrame(rows, "fp long, rep long")).collect()}
+    assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= 2}
