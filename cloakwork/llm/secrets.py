@@ -40,36 +40,44 @@ KINDS = (*BASE, *WEAK)
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; a lambda that mentions an outer expression computes it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def sums_before(values: Column) -> Column:
     """The sum of the values before each of an array of ints, in two levels so that long arrays stay cheap."""
-    size = F.size(values)
-    chunks = F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(CHUNK)), lambda c: F.slice(values, c + 1, CHUNK))
 
     def running(start: Column, part: Column) -> Column:
         """``part``'s sums before each element, with one more at the end."""
         return F.aggregate(part, F.array(start), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
 
-    starts = running(F.lit(0), F.transform(chunks, _sum))
-    parts = F.zip_with(chunks, F.slice(starts, 1, F.size(chunks)), lambda part, start: F.slice(running(start, part), 1, F.size(part)))
-    return F.when(size > 0, F.flatten(parts)).otherwise(F.array().cast("array<int>"))
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        return _let(running(F.lit(0), totals), lambda starts: F.flatten(F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda part, start: F.slice(running(start, part), 1, F.size(part)))))
+
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(CHUNK))
+    return _let(F.transform(firsts, lambda c: F.slice(values, c + 1, CHUNK)), joined)
 
 
 def spans(text: Column, kind: str, pattern: str, group: tuple[int, int] | None = None) -> Column:
     """The matches of a pattern as (start, kind, end) in code points; with (g, n), those whose group g has n characters."""
     p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    sizes = F.transform(found, F.length)
+    lengths = lambda g: F.transform(F.regexp_extract_all(text, p, F.lit(g)), F.length)
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    between = F.slice(gaps, 1, F.size(sizes))
-    before = sums_before(F.zip_with(between, sizes, lambda g, m: g + m))
-    rows = F.arrays_zip(between.alias("gap"), sizes.alias("size"), before.alias("before"), (F.transform(F.regexp_extract_all(text, p, F.lit(group[0])), F.length) if group else sizes).alias("width"))
-    kept = F.filter(rows, lambda r: r["width"] >= (group[1] if group else 1))
-    made = F.transform(kept, lambda r: F.struct((r["before"] + r["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (r["before"] + r["gap"] + r["size"]).alias("end")))
-    return F.when(text.rlike(pattern), made.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    found = F.struct(lengths(0).alias("sizes"), gaps.alias("gaps"), (lengths(group[0]) if group else F.lit(None).cast("array<int>")).alias("widths"))
+
+    def placed(v: Column) -> Column:
+        steps = F.zip_with(v["sizes"], F.slice(v["gaps"], 1, F.size(v["sizes"])), lambda size, gap: size + gap)
+        ends = _let(steps, lambda x: F.zip_with(x, sums_before(x), lambda own, before: own + before))
+        made = F.zip_with(v["sizes"], ends, lambda size, end: F.struct((end - size).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end")))
+        if not group:
+            return made.cast(SPAN)
+        least = group[1]
+        kept = F.filter(F.arrays_zip(made.alias("span"), v["widths"].alias("width")), lambda r: r["width"] >= least)
+        return F.transform(kept, lambda r: r["span"]).cast(SPAN)
+
+    return F.when(text.rlike(pattern), _let(found, placed)).otherwise(F.array().cast(SPAN))
 
 
 def _row_key() -> list[Column]:
