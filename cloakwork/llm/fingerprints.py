@@ -1,7 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text is cut into pieces: at newlines, after a word that ends a sentence, and
-after ``WORDS`` words. A text of few pieces also gives its single words. The
+A text is cut into pieces: at newlines, after a word that ends a sentence once
+there are ``WORDS`` words, and after twice as many. A text of few pieces also
+gives its single words. The
 k-th occurrence of a piece is an element of its own, with a 64-bit key. A sketch
 has four subtables of eight cells; each key is put into one cell of each: the
 cell counts it and takes the XOR of keys and of their check sums.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import shared_checkpoint, whole_text
 
 WORDS = 12
-FEW = 4
-PIECE = rf"(?:\S*[^\s.!?](?=[^\S\n]+\S)[^\S\n]+){{0,{WORDS - 1}}}\S+"
+FEW = 6
+PIECE = rf"(?:\S+[^\S\n]+(?=\S)){{0,{WORDS - 1}}}(?:\S*[^\s.!?](?=[^\S\n]+\S)[^\S\n]+){{0,{WORDS}}}\S+"
 TABLES, CELLS = 4, 8
 LOAD, SPLIT, ROUNDS = 8, 4, 16
 CELL = "array<struct<n:int,k:bigint,s:bigint>>"
@@ -121,88 +122,107 @@ def _next_ids(documents: DataFrame) -> DataFrame:
 
 
 def edited_versions(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, next_id, edited): the last quarter of each text replaced by as much of the next document's beginning."""
-    texts = documents.select("doc_id", whole_text().alias("text"))
-    ids = shared_checkpoint(_next_ids(documents))
-    of_next = texts.select(F.col("doc_id").alias("next_id"), F.col("text").alias("__text"))
-    heads = ids.join(of_next, "next_id").select("doc_id", "next_id", F.expr("substring(__text, 1, need)").alias("__head"))
-    heads = heads.groupBy("doc_id", "next_id").agg(F.min("__head").alias("__head"))
-    quarter = F.floor(F.length("text") / 4).cast("int")
-    both = texts.join(heads, "doc_id", "left").withColumn("__n", quarter)
+    """(doc_id, text, next_id, edited) of the rows with a doc_id: the last quarter of each text replaced by as much of the next document's beginning.
+
+    Both joins take the texts from one exchange by doc_id.
+    """
+    texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
+    ids = shared_checkpoint(_next_ids(documents)).select(F.col("doc_id").alias("__for"), "next_id", "need")
+    heads = texts.join(ids, F.col("doc_id") == F.col("next_id")).select("__for", "next_id", F.expr("substring(text, 1, need)").alias("__head"))
+    heads = heads.groupBy("__for", "next_id").agg(F.min("__head").alias("__head"))
+    both = texts.join(heads, F.col("doc_id") == F.col("__for")).withColumn("__n", F.floor(F.length("text") / 4).cast("int"))
     edited = F.expr("concat(substring(text, 1, length(text) - __n), substring(__head, 1, __n))")
     return both.select("doc_id", "text", "next_id", edited.alias("edited"))
 
 
+#: The lowest bits of a stored key tell which version holds it.
+OF_TEXT, OF_EDITED = 1, 2
+
+
+def held_by(keys: Column, version: int) -> Column:
+    """The keys of one version, without those bits."""
+    return F.transform(F.filter(keys, lambda k: k.bitwiseAND(F.lit(version).cast("bigint")) != 0), lambda k: k.bitwiseAND(F.lit(-4).cast("bigint")))
+
+
 def _keyed(versions: DataFrame) -> DataFrame:
-    """A row a document (doc_id, row): figures of both versions, and their keys as arrays a (the text) and b (edited)."""
+    """A row a document (doc_id, row): next_id, figures, and the ``keys`` of the text and of its edited form in one array."""
     each = F.concat(
         F.transform(pieces(F.col("text")), lambda d: F.struct(d.alias("d"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
-        F.transform(pieces(F.coalesce("edited", F.lit(""))), lambda d: F.struct(d.alias("d"), F.lit(0).alias("a"), F.lit(1).alias("b"))),
+        F.transform(pieces(F.col("edited")), lambda d: F.struct(d.alias("d"), F.lit(0).alias("a"), F.lit(1).alias("b"))),
     )
     meta = ["doc_id", "row", "next_id", "n_chars", "edited_sha256"]
-    rows = versions.select("doc_id", F.xxhash64("text").alias("row"), "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), each.alias("each")).dropDuplicates(["doc_id", "row"])
+    rows = versions.select("doc_id", F.xxhash64("text").alias("row"), "next_id", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), each.alias("each")).dropDuplicates(["doc_id", "row"])
     counted = rows.select(*meta, F.explode_outer("each").alias("e")).groupBy(*meta, F.col("e.d").alias("d")).agg(F.sum("e.a").alias("a"), F.sum("e.b").alias("b"))
-    numbered = counted.select(*meta, "a", "b", F.explode_outer(F.when(F.col("d").isNotNull(), F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest("a", "b")), lambda k: F.struct(k.alias("i"), F.xxhash64("d", k).alias("key"))))).alias("o"))
-    keys = lambda side: F.collect_list(F.when(F.col("o.i") <= F.col(side), F.col("o.key")))
-    return numbered.groupBy(*meta).agg(keys("a").alias("a"), keys("b").alias("b"))
+    key = lambda i: F.xxhash64("d", i).bitwiseAND(F.lit(-4).cast("bigint")) + F.when(i <= F.col("a"), OF_TEXT).otherwise(0) + F.when(i <= F.col("b"), OF_EDITED).otherwise(0)
+    own = F.when(F.col("d").isNotNull(), F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest("a", "b")), key)).otherwise(F.array().cast("array<bigint>"))
+    return counted.select(*meta, own.alias("own")).groupBy(*meta).agg(F.flatten(F.collect_list("own")).alias("keys"))
 
 
 def _small_sketches(keyed: DataFrame) -> DataFrame:
-    """(doc_id, row, sa, sb): the small sketches of both versions."""
-    each = keyed.select("doc_id", "row", F.explode(F.concat(F.transform("a", lambda k: F.struct(k.alias("k"), F.lit(1).alias("v"))), F.transform("b", lambda k: F.struct(k.alias("k"), F.lit(2).alias("v"))))).alias("e"))
-    put = each.select("doc_id", "row", F.col("e.v").alias("v"), F.col("e.k").alias("k"), _check(F.col("e.k")).alias("s"), _put(F.col("e.k")).alias("cell"))
-    cells = put.groupBy("doc_id", "row", "v", "cell").agg(F.count("*").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("s").alias("s"))
-    side = lambda v: F.collect_list(F.when(F.col("v") == v, F.struct("cell", "n", "k", "s")))
-    return cells.groupBy("doc_id", "row").agg(side(1).alias("sa"), side(2).alias("sb"))
+    """(doc_id, row, sa, sb): the small sketches of both versions, for documents that have a key."""
+    put = keyed.select("doc_id", "row", F.explode("keys").alias("f")).select("doc_id", "row", "f", F.col("f").bitwiseAND(F.lit(-4).cast("bigint")).alias("k"))
+    put = put.select("doc_id", "row", "f", "k", _check(F.col("k")).alias("s"), _put(F.col("k")).alias("cell"))
+    cells = put.groupBy("doc_id", "row", "cell").agg(*[agg for version, name in ((OF_TEXT, "a"), (OF_EDITED, "b")) for agg in _cell_sums(version, name)])
+    side = lambda x: F.collect_list(F.when(F.col(f"n{x}") > 0, F.struct("cell", F.col(f"n{x}").alias("n"), F.coalesce(f"k{x}", F.lit(0)).alias("k"), F.coalesce(f"s{x}", F.lit(0)).alias("s"))))
+    return cells.groupBy("doc_id", "row").agg(side("a").alias("sa"), side("b").alias("sb"))
+
 
+def _cell_sums(version: int, name: str) -> list[Column]:
+    own = F.col("f").bitwiseAND(F.lit(version).cast("bigint")) != 0
+    return [F.count_if(own).cast("int").alias(f"n{name}"), F.bit_xor(F.when(own, F.col("k"))).alias(f"k{name}"), F.bit_xor(F.when(own, F.col("s"))).alias(f"s{name}")]
 
-def as_text(cells: Column) -> Column:
-    """A sketch's cells as text."""
+
+def packed(cells: Column) -> Column:
+    """A sketch's cells as bytes."""
     each = F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["s"]), 8, "0")))
-    return F.base64(F.unhex(F.array_join(each, "")))
+    return F.unhex(F.array_join(each, ""))
+
 
+def _peeled(signed: DataFrame, pair: list[str], seed: int, block: Column) -> DataFrame:
+    """(pair, block, more, less, whole) of each block of larger sketches, from rows (pair, size, k, sign).
 
-def _peeled(signed: DataFrame, seed: int, blocks: Column) -> DataFrame:
-    """(pair, block, more, less, whole) of each block of larger sketches, from rows (pair, size, k, sign)."""
-    placed = signed.withColumn("block", blocks)
+    All groups hold the columns of ``pair``, by which the rows are dealt already, so nothing is shuffled.
+    """
+    placed = signed.withColumn("block", block)
     key = F.xxhash64("k", F.lit(seed))  # another key each time, so that another try has other places
-    put = placed.withColumn("k", key).select("pair", "block", "sign", "k", _check(F.col("k")).alias("s"), _put(F.col("k")).alias("cell"))
-    cells = put.groupBy("pair", "block", "cell").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("s").alias("s")).where("n <> 0 OR k <> 0 OR s <> 0")
-    sketches = cells.groupBy("pair", "block").agg(F.collect_list(F.struct("cell", "n", "k", "s")).alias("cells"))
-    return sketches.select("pair", "block", F.inline(F.array(peel(_dense(F.col("cells"))))))
+    put = placed.withColumn("k", key).select(*pair, "block", "sign", "k", _check(F.col("k")).alias("s"), _put(F.col("k")).alias("cell"))
+    cells = put.groupBy(*pair, "block", "cell").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("s").alias("s")).where("n <> 0 OR k <> 0 OR s <> 0")
+    sketches = cells.groupBy(*pair, "block").agg(F.collect_list(F.struct("cell", "n", "k", "s")).alias("cells"))
+    return sketches.select(*pair, "block", F.inline(F.array(peel(_dense(F.col("cells"))))))
 
 
-def differences(pairs: DataFrame) -> DataFrame:
-    """(pair, more, less) of ``pairs`` (pair, a, b; pair a distinct id, a and b arrays of distinct keys).
+def differences(pairs, pair: list[str]) -> DataFrame:
+    """(pair, more, less) for pairs of key arrays: ``more`` keys are in a alone, ``less`` in b alone.
 
-    ``more`` keys are in a alone, ``less`` in b alone. Pairs without a difference give no row.
+    ``pairs(failed)`` gives the rows (pair, a, b), each array without repeats:
+    all of them for None, else those whose ``pair`` is in ``failed``. Pairs
+    without a difference give no row.
     """
     size = F.greatest(F.size("a") + F.size("b"), F.lit(1))
-    power = F.shiftleft(F.lit(1).cast("bigint"), 0)
-    blocks = F.call_function("shiftleft", power, F.ceil(F.log2(F.ceil(size / LOAD).cast("double"))).cast("int"))
-    plus = F.transform("a", lambda k: F.struct(k.alias("k"), F.lit(1).alias("sign")))
-    minus = F.transform("b", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("sign")))
-    sized = pairs.select("pair", blocks.alias("size"), F.concat(plus, minus).alias("each"))
-    all_keys = sized.select("pair", "size", F.inline("each"))
-    home, more = F.xxhash64("k", F.lit(4)), None
-    todo, seed = None, 5
+    blocks = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ceil(F.log2(F.ceil(size / LOAD).cast("double"))).cast("int"))
+    home = F.xxhash64("k", F.lit(4))
+
+    def signed(rows: DataFrame) -> DataFrame:
+        plus = F.transform("a", lambda k: F.struct(k.alias("k"), F.lit(1).alias("sign")))
+        minus = F.transform("b", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("sign")))
+        return rows.select(*pair, blocks.alias("size"), F.inline(F.concat(plus, minus)))
+
+    block_at = lambda r: home.bitwiseAND(F.col("size") * F.lit(SPLIT**r) - 1)
+    done, failed, turn = None, None, 0
     while True:
-        signed, at = all_keys, lambda r: home.bitwiseAND(F.col("size") * F.lit(SPLIT**r) - 1)
-        if todo is not None:
-            failed = todo.select("pair", F.col("block").alias("__block"))
-            own = sized.join(failed.select("pair").distinct(), "pair", "left_semi").select("pair", "size", F.inline("each"))
-            signed = own.withColumn("__block", at(seed - 6)).join(failed, ["pair", "__block"], "left_semi")
-        got = shared_checkpoint(_peeled(signed, seed, at(seed - 5)))
-        done = got.where("whole").select("pair", "more", "less")
-        more = done if more is None else more.unionByName(done)
-        todo, seed = got.where("NOT whole"), seed + 1
-        if todo.isEmpty():
-            return more.groupBy("pair").agg(F.sum("more").alias("more"), F.sum("less").alias("less"))
+        rows = signed(pairs(None if failed is None else failed.select(*pair).distinct()))
+        if failed is not None:
+            rows = rows.withColumn("__block", block_at(turn - 1)).join(failed.withColumnRenamed("block", "__block"), [*pair, "__block"], "left_semi")
+        got = shared_checkpoint(_peeled(rows, pair, 5 + turn, block_at(turn)))
+        own = got.where("whole").select(*pair, "more", "less")
+        done = own if done is None else done.unionByName(own)
+        failed, turn = got.where("NOT whole").select(*pair, "block"), turn + 1
+        if failed.isEmpty():
+            return done.groupBy(*pair).agg(F.sum("more").alias("more"), F.sum("less").alias("less"))
 
 
 def _likeness(n_a: Column, n_b: Column, more: Column, less: Column) -> Column:
-    both = n_a - more
-    return F.when(n_b + more == 0, F.lit(1.0)).otherwise(both / (n_b + more))
+    return F.when(n_b + more == 0, F.lit(1.0)).otherwise((n_a - more) / (n_b + more))
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
@@ -213,48 +233,53 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     is next, the smallest after the largest (a lone document: itself). near_*
     are likenesses from 0 to 1 of the text to its edited form and to the next
     document's text; texts without a piece (null, empty, blank) are alike and
-    have the empty sketch. Rows with the same doc_id follow the document before
-    them and precede the next one alike; of several texts of a next document
-    the one with the smallest beginning counts for edits, the one with the
-    smallest hash for likeness. A row without a doc_id gets its n_chars and
-    fingerprint of nothing else: it has no place in the order, so the columns
-    about other texts are null. Other columns are ignored; an empty table gives
-    an empty result.
+    have the empty sketch. Rows with the same doc_id have the same next
+    document; of several texts of a next document the one with the smallest
+    beginning counts for edits, the one with the smallest hash for likeness. A
+    row without a doc_id has no place in the order: all but its n_chars is null.
+    Other columns are ignored; an empty table gives an empty result.
     """
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = shared_checkpoint(_keyed(edited_versions(source)))
-    small = _small_sketches(keyed).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), _dense(F.col("sa")).alias("sa"), _dense(F.col("sb")).alias("sb"))
-    meta = [c for c in keyed.columns if c not in ("a", "b")]
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("row") == F.col("__row"))
-    sketched = keyed.select(*meta, F.size("a").alias("na"), F.size("b").alias("nb")).join(small, same, "left").select(*meta, "na", "nb", *[F.coalesce(c, _zeros()).alias(c) for c in ("sa", "sb")])
-    sketched = shared_checkpoint(sketched)
-    after = sketched.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__doc")).agg(F.min_by(F.struct("row", "na", "sa"), "row").alias("after"))
-    paired = sketched.join(after, F.col("next_id") == F.col("__doc"), "left")
-    tried = paired.select(*meta, "na", "nb", F.col("after.row").alias("next_row"), F.col("after.na").alias("nn"), F.col("sa"), F.col("sb"), F.inline(F.array(F.struct(peel(_subtract(F.col("sa"), F.col("sb"))).alias("e"), peel(_subtract(F.col("sa"), F.col("after.sa"))).alias("x")))))
-    tried = shared_checkpoint(tried.select(*meta, "na", "nb", "nn", "next_row", as_text(F.col("sa")).alias("fingerprint"), as_text(F.col("sb")).alias("edited_fingerprint"), "e", "x"))
+    count = lambda version: F.size(held_by(F.col("keys"), version))
+    small = _small_sketches(keyed)
+    ours = small.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), _dense(F.col("sa")).alias("sa"), _dense(F.col("sb")).alias("sb"))
+    theirs = keyed.select("doc_id", "row", count(OF_TEXT).alias("nn")).join(small.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "sa"), (F.col("doc_id") == F.col("__doc")) & (F.col("row") == F.col("__row")), "left")
+    theirs = theirs.groupBy(F.col("doc_id").alias("__next")).agg(F.min_by(F.struct("row", "nn", "sa"), "row").alias("after"))
+    meta = ["doc_id", "row", "next_id", "n_chars", "edited_sha256"]
+    sketched = keyed.select(*meta, count(OF_TEXT).alias("na"), count(OF_EDITED).alias("nb")).join(ours, (F.col("doc_id") == F.col("__doc")) & (F.col("row") == F.col("__row")), "left")
+    sketched = sketched.select(*meta, "na", "nb", *[F.coalesce(c, _zeros()).alias(c) for c in ("sa", "sb")])
+    paired = sketched.join(theirs, F.col("next_id") == F.col("__next")).select(*sketched.columns, F.col("after.row").alias("next_row"), F.col("after.nn").alias("nn"), _dense(F.col("after.sa")).alias("sn"))
+    peeled = F.inline(F.array(F.struct(peel(_subtract(F.col("sa"), F.col("sb"))).alias("e"), peel(_subtract(F.col("sa"), F.col("sn"))).alias("x"))))
+    tried = shared_checkpoint(paired.select(*meta, "na", "nb", "nn", "next_row", packed(F.col("sa")).alias("fa"), packed(F.col("sb")).alias("fb"), peeled))
+
     # Larger sketches for the pairs that failed.
-    failed = tried.where("doc_id IS NOT NULL")
-    ours = keyed.select("doc_id", "row", "a", "b")
-    edits = failed.where("NOT e.whole").select("doc_id", "row").join(ours, ["doc_id", "row"]).select(F.struct(F.lit(0).alias("kind"), "doc_id", "row").alias("pair"), "a", "b")
-    theirs = keyed.select(F.col("doc_id").alias("next_id"), F.col("row").alias("next_row"), F.col("a").alias("b"))
-    nexts = failed.where("NOT x.whole").select("doc_id", "row", "next_id", "next_row").join(theirs, ["next_id", "next_row"]).join(ours.drop("b"), ["doc_id", "row"])
-    nexts = nexts.select(F.struct(F.lit(1).alias("kind"), "doc_id", "row").alias("pair"), "a", "b")
-    found = differences(edits.unionByName(nexts)).select(F.col("pair.kind").alias("kind"), F.col("pair.doc_id").alias("__doc"), F.col("pair.row").alias("__row"), "more", "less")
-    by_row = found.groupBy("__doc", "__row").agg(*[F.max(F.when(F.col("kind") == k, F.struct("more", "less"))).alias(c) for k, c in ((0, "le"), (1, "lx"))])
-    whole = tried.join(by_row, (F.col("doc_id") == F.col("__doc")) & (F.col("row") == F.col("__row")), "left")
-    count = lambda small, large, what: F.when(F.col(small)["whole"], F.col(small)[what]).otherwise(F.coalesce(F.col(large)[what], F.lit(0)))
-    near_edited = _likeness(F.col("na"), F.col("nb"), count("e", "le", "more"), count("e", "le", "less"))
-    near_next = _likeness(F.col("na"), F.col("nn"), count("x", "lx", "more"), count("x", "lx", "less"))
-    placed = F.col("doc_id").isNotNull()
+    own, two = ["doc_id", "row"], ["next_id", "next_row", "doc_id", "row"]
+
+    def edits(failed: DataFrame | None) -> DataFrame:
+        asked = tried.where("NOT e.whole").select(*own) if failed is None else failed
+        return keyed.join(asked, own, "left_semi").select(*own, held_by(F.col("keys"), OF_TEXT).alias("a"), held_by(F.col("keys"), OF_EDITED).alias("b"))
+
+    def nexts(failed: DataFrame | None) -> DataFrame:
+        asked = tried.where("NOT x.whole").select(*two) if failed is None else failed
+        keys = keyed.select(*own, held_by(F.col("keys"), OF_TEXT).alias("a"))
+        left = keys.join(asked, own).select(*two, "a")
+        right = keys.join(asked.select(F.col("next_id").alias("doc_id"), F.col("next_row").alias("row")).distinct(), own, "left_semi").select(F.col("doc_id").alias("next_id"), F.col("row").alias("next_row"), F.col("a").alias("b"))
+        return left.join(right, ["next_id", "next_row"])
+
+    of_edit = differences(edits, own).select(F.col("doc_id").alias("__d1"), F.col("row").alias("__r1"), F.col("more").alias("em"), F.col("less").alias("el"))
+    of_next = differences(nexts, two).select(F.col("doc_id").alias("__d2"), F.col("row").alias("__r2"), F.col("more").alias("xm"), F.col("less").alias("xl"))
+    whole = tried.join(of_edit, (F.col("doc_id") == F.col("__d1")) & (F.col("row") == F.col("__r1")), "left").join(of_next, (F.col("doc_id") == F.col("__d2")) & (F.col("row") == F.col("__r2")), "left")
+    best = lambda small, large, what: F.when(F.col(small)["whole"], F.col(small)[what]).otherwise(F.coalesce(large, F.lit(0)))
     out = whole.select(
         F.col("doc_id").alias("__doc_id"),
         F.col("row").alias("__own"),
-        "n_chars",
-        *[F.when(placed, F.col(c)).alias(c) for c in ("edited_sha256",)],
-        "fingerprint",
-        *[F.when(placed, F.col(c)).alias(c) for c in ("edited_fingerprint",)],
-        F.when(placed, near_edited).alias("near_edited"),
-        F.when(placed, near_next).alias("near_next"),
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        F.base64("fa").alias("fingerprint"),
+        F.base64("fb").alias("edited_fingerprint"),
+        _likeness(F.col("na"), F.col("nb"), best("e", "em", "more"), best("e", "el", "less")).alias("near_edited"),
+        _likeness(F.col("na"), F.col("nn"), best("x", "xm", "more"), best("x", "xl", "less")).alias("near_next"),
     )
-    rows = source.select("doc_id", F.xxhash64(whole_text()).alias("__text"))
-    return rows.join(out, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__text") == F.col("__own"))).drop("__text", "__doc_id", "__own")
+    rows = source.select("doc_id", F.length(whole_text()).cast("long").alias("n_chars"), F.xxhash64(whole_text()).alias("__text"))
+    joined = rows.join(out, (F.col("doc_id") == F.col("__doc_id")) & (F.col("__text") == F.col("__own")), "left")
+    return joined.drop("__text", "__doc_id", "__own")
