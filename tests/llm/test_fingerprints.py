@@ -56,3 +56,15 @@ def test_lone_document_and_empty_table(spark, empty):
     one = fingerprint_documents(spark.createDataFrame([(7, "only one here")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"only one honl").hexdigest()
     assert fingerprint_documents(empty).count() == 0
+
+
+def test_texts_of_few_and_of_many_pieces_are_compared_by_pieces(spark):
+    """Six lines become five in the edited form, and the next document has three: three lines are held by all."""
+    long, short = "\n".join(["first line", "second line", "third line", "fourth line of it", "5", "6"]), "first line\nsecond line\nthird line"
+    rows = {r.doc_id: r for r in fingerprint_documents(spark.createDataFrame([(1, long), (2, short)], "doc_id long, text string")).collect()}
+    n = len(long) // 4
+    edited = set((long[: len(long) - n] + short[:n]).split("\n"))
+    lines = set(long.split("\n"))
+    assert len(lines) == 6 and len(edited) < 6
+    assert rows[1].near_edited == len(lines & edited) / len(lines | edited) >= 3 / 8
+    assert rows[1].near_next == rows[2].near_next == 3 / 6
