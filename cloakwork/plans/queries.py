@@ -173,6 +173,15 @@ def classify_pages(spark, sf_dir):
     return rows.select("conv_id", "turn", pages.task(F.col("text"), F.col("has_table")).alias("task"))
 
 
+@query(rf"""WITH p AS (SELECT conv_id, turn, turn % 5 = 0 AS has_table, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT conv_id, turn, has_table, {STRIP} AS t FROM p)
+SELECT conv_id, turn, CASE WHEN length(t) >= 50 THEN 'text' WHEN has_table THEN 'table' WHEN regexp_matches(t, '{pages.FORMULA}') THEN 'formula' ELSE 'visual' END AS task FROM s""")
+def classify_whole_pages(spark, sf_dir):
+    """``classify_pages`` over whole texts."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 5 == 0).alias("has_table"), "text")
+    return rows.select("conv_id", "turn", pages.task(F.col("text"), F.col("has_table")).alias("task"))
+
+
 @query()
 def clean_native_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", pages.clean_native_text(F.col("text")).alias("text"))

@@ -209,3 +209,10 @@ def test_sources_and_stream(spark, tmp_path):
     settings = tmp_path / "config.env"
     settings.write_text("# x\nNER_BACKEND=gazetteer\nSEALED=false\nTEXT_THRESHOLD=10\n")
     assert files.read_settings((str(settings),)) == files.Settings(ner_backend="gazetteer", sealed=False, text_threshold=10)
+
+
+def test_whole_pages_are_classified(spark, tmp_path):
+    rows = [(1, 0, "x" * 50), (1, 1, "  " + "word " * 40), (1, 5, "short"), (1, 2, "f(x) = 2"), (1, 3, " " * 80 + "a picture"), (1, 4, None), (1, 45, "y" * 49), (1, 50, " " * 45 + "z" * 50)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: r.task for r in Q.QUERIES["classify_whole_pages"](spark, str(tmp_path)).collect()}
+    assert got == {0: "text", 1: "text", 5: "table", 2: "formula", 3: "visual", 4: "visual", 45: "table", 50: "text"}
