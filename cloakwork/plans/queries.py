@@ -379,6 +379,25 @@ def recovery_context(spark, sf_dir):
     return _windows(spark, sf_dir, 0, "IT_CODICE_FISCALE").select("doc_id", recover.context_supports().alias("supported"))
 
 
+@query()
+def refine_dob_candidates(spark, sf_dir):
+    """``refine_dob`` for every date of the whole texts."""
+    return _hits(spark, sf_dir, "DATE").select("doc_id", "start", "end", "raw", detect.refined_type().alias("entity_type"))
+
+
+@query()
+def context_boost_candidates(spark, sf_dir):
+    """``context_boost`` for every telephone number of the whole texts."""
+    boosted = F.round(F.least(F.lit(1.0), 0.6 + F.when(detect.in_context(), detect.BOOST).otherwise(0.0)), 6)
+    return _hits(spark, sf_dir, "PHONE").select("doc_id", "start", "end", "raw", boosted.alias("confidence"))
+
+
+@query()
+def recovery_context_candidates(spark, sf_dir):
+    """``recovery_context`` for every tax code of the whole texts."""
+    return _hits(spark, sf_dir, "IT_CODICE_FISCALE").select("doc_id", "start", "end", "raw", recover.context_supports().alias("supported"))
+
+
 @query()
 def ner_plugin(spark, sf_dir):
     names = screen.gazetteer({"Mario Rossi": "PERSON", "Milano": "LOCATION", "Vittorio Emanuele": "PERSON"})

@@ -216,3 +216,32 @@ def test_whole_pages_are_classified(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.turn: r.task for r in Q.QUERIES["classify_whole_pages"](spark, str(tmp_path)).collect()}
     assert got == {0: "text", 1: "text", 5: "table", 2: "formula", 3: "visual", 4: "visual", 45: "table", 50: "text"}
+
+
+CONTEXTS = {
+    "refine_dob_candidates": ("entity_type", detect.BIRTH, True, "DATE_OF_BIRTH", "DATE", {"10/12/1985": "DATE_OF_BIRTH", "01-02-1990": "DATE_OF_BIRTH", "2021-03-04": "DATE"}),
+    "context_boost_candidates": ("confidence", detect.RECOGNIZERS[7].context, False, 0.85, 0.6, {"+39 348 1234567": 0.85, "3481234567": 0.85}),
+    "recovery_context_candidates": ("supported", ("codice fiscale", "cod. fiscale", "cod.fiscale", "cod. fisc", "c.f.", "cf ", "cf:", "codfisc"), False, True, False, {"RSSMRA85T1OA562S": True, "RSSMRA8ST10A562S": True, "ABCDEF12G34H567I": False}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTEXTS))
+def test_context_of_every_candidate(spark, tmp_path, name):
+    column, words, left_only, yes, no, known = CONTEXTS[name]
+    far = "nato il, telefono, codice fiscale " + "x " * 60  # words out of a candidate's reach
+    bodies = ["", None, far, "nato il 03/04/1971. tel. 348 7654321; codice fiscale RSSMRA85T10A562S. " + "y " * 90 + "09/08/2007, 3487654321, RSSMRA85T10A562S " + "z " * 90]
+    rows = [(8 * k + d, body) for k, body in enumerate(bodies) for d in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = {d: (body or "") + "\n" + Q.FORMS[d % 8] for d, body in rows}
+    got = Q.QUERIES[name](spark, str(tmp_path)).collect()
+    for r in got:
+        text = whole[r.doc_id]
+        assert text[r.start : r.end] == r.raw
+        left, right = text[max(r.start - 60, 0) : r.start].lower(), text[r.end : r.end + 60].lower()
+        around = left if left_only else f"{left} {right}"
+        assert r[column] == (yes if any(w in around for w in words) else no)
+    for raw, value in known.items():
+        docs = {d for d, t in whole.items() if raw in t}
+        assert docs and docs <= {r.doc_id for r in got if raw in r.raw}
+        assert all(r[column] == value for r in got if raw in r.raw and r.doc_id < 8)
+    assert {r[column] for r in got if r.doc_id >= 24 and r.start < 100} >= {yes} and {r[column] for r in got if r.doc_id >= 24 and r.start > 200} >= {no}
