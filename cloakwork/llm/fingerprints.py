@@ -1,72 +1,49 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text is cut into pieces: at newlines, after a word that ends a sentence once
-there are ``WORDS`` words, and after twice as many. Every text, short or long,
-gives its pieces and nothing else, so that any two are compared alike. The
-k-th occurrence of a piece is an element of its own, with a 64-bit key. A sketch
-has four subtables of eight cells; each key is put into one cell of each: the
-cell counts it and takes the XOR of keys and of their check sums.
-
-Sketches are linear, so two versions' cells subtract, and what both hold is
-gone. A cell left with one key (its check sum tells) gives that key up; taking
+A text's lines are cut into pieces of ``WORDS`` words. The k-th occurrence of a
+piece is an element of its own, with a 64-bit key: 42 bits of hash and 22 check
+bits that follow from them. A sketch has four subtables of four cells; each key
+is put into one cell of each, which takes the XOR of its keys.
+
+Sketches are linear, so two versions' cells subtract (by XOR), and what both hold
+is gone. A cell left with one key (its check bits tell) gives that key up; taking
 it out of its other cells frees more of them, until the differing keys are all
-recovered or no such cell is left. Then a larger sketch is tried: many blocks of
-cells, each for about ``LOAD`` of both versions' keys, and after that each block
-that failed is split in ``SPLIT``, until none fails.
+recovered or no such cell is left. Then a larger sketch is tried: a hash deals the
+keys of both versions among parts of 16 cells, ``LOAD`` keys for each; after that
+each part that failed is split in ``SPLIT``, with other cells for each key, until
+none fails. How many of the recovered keys either version holds follows from
+their number and from those of the versions' elements.
 
 The fingerprint is the small sketch. The likeness of two versions is the number
 of elements that both hold over that of those that either holds.
+
+Texts cross one exchange, by blocks of neighbouring doc_ids. A document's next one
+is the row after it in its block, and each block holds the first document of the
+block after it too. All that follows works on rows dealt by block, without an
+exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_checkpoint, whole_text
 
-WORDS = 12
-#: Texts of fewer pieces would give their single words too: none do. Only the tests' brute force reads it.
-FEW = 0
-PIECE = rf"(?:\S+[^\S\n]+(?=\S)){{0,{WORDS - 1}}}(?:\S*[^\s.!?](?=[^\S\n]+\S)[^\S\n]+){{0,{WORDS}}}\S+"
-TABLES, CELLS = 4, 8
-LOAD, SPLIT, ROUNDS = 8, 4, 16
-CELL = "array<struct<n:int,k:bigint,s:bigint>>"
-
-
-def pieces(text: Column) -> Column:
-    """The hashes of a text's pieces, repeated as they are."""
-    found = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    return F.transform(found, lambda x: F.xxhash64(x))
-
-
-def _places(key: Column) -> Column:
-    """The hash that places a key: three bits for each subtable."""
-    return F.xxhash64(key, F.lit(2))
-
-
-def _check(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(3)), 32)
-
-
-def _cell(key: Column, table: int) -> Column:
-    return F.shiftrightunsigned(_places(key), 3 * table).bitwiseAND(F.lit(CELLS - 1)).cast("int") + CELLS * table
-
-
-def _zeros() -> Column:
-    return F.array_repeat(F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("s")), TABLES * CELLS).cast(CELL)
-
-
-def _dense(sparse: Column) -> Column:
-    """All cells from an array of structs (cell, n, k, s) of those that hold something."""
-    by_cell = F.map_from_arrays(F.transform(sparse, lambda x: x["cell"]), F.transform(sparse, lambda x: F.struct(x["n"], x["k"], x["s"])))
-    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("s"))
-    whole = F.transform(F.sequence(F.lit(0), F.lit(TABLES * CELLS - 1)), lambda i: F.coalesce(F.try_element_at(by_cell, i), none))
-    return F.when(F.size(F.coalesce(sparse, F.array())) > 0, whole.cast(CELL)).otherwise(_zeros())
-
-
-def _subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["s"].bitwiseXOR(y["s"]).alias("s"))).cast(CELL)
+WORDS = 20
+PIECE = rf"\S++(?:[^\S\n]++\S++){{0,{WORDS - 1}}}"
+TABLES, CELLS = 4, 4
+CHECK_BITS = 22
+SPLIT, ROUNDS = 2, 12
+#: Elements of both versions for each of the larger sketches: of a text and its edited form about half are expected to differ.
+LOAD = {"e": 12, "x": 6}
+#: Documents of a block on average, and blocks at most: their first doc_ids are all that reaches the driver.
+BLOCK_ROWS, MAX_BLOCKS = 1024, 1 << 16
+VERSIONS = ("a", "b", "n")  # the text, its edited form, the next document's text
 
 
 def _let(value: Column, body) -> Column:
@@ -74,155 +51,194 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def peel(cells: Column) -> Column:
-    """(more, less, whole): how many keys of either sign a subtracted sketch gives up, and whether nothing is left."""
-    none = F.struct(F.lit(0).alias("more"), F.lit(0).alias("less"), cells.alias("cells"))
+def _check(key: Column) -> Column:
+    """The check bits that belong to a key's hash bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.shiftrightunsigned(key, CHECK_BITS)), 64 - CHECK_BITS)
 
-    def turn(state: Column, _: Column) -> Column:
-        pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["s"] == _check(c["k"])))
-        keys = F.transform(F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k")))), lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), _check(c["k"]).alias("s"), _places(c["k"]).alias("p")))
-        return _let(keys, lambda got: F.when(F.size(got) == 0, state).otherwise(taken(state, got)))
 
-    def taken(state: Column, got: Column) -> Column:
-        def rest(c: Column, i: Column) -> Column:
-            at, own = (i / CELLS).cast("int") * 3, i.bitwiseAND(F.lit(CELLS - 1)).cast("bigint")
-            here = F.filter(got, lambda g: F.call_function("shiftrightunsigned", g["p"], at).bitwiseAND(F.lit(CELLS - 1).cast("bigint")) == own)
-            start = F.struct(c["n"].alias("n"), c["k"].alias("k"), c["s"].alias("s"))
-            return F.aggregate(here, start, lambda a, g: F.struct((a["n"] - g["n"]).alias("n"), a["k"].bitwiseXOR(g["k"]).alias("k"), a["s"].bitwiseXOR(g["s"]).alias("s")))
+def _key(hashed: Column) -> Column:
+    high = F.shiftleft(F.shiftrightunsigned(hashed, CHECK_BITS), CHECK_BITS)
+    return high.bitwiseOR(_check(high))
 
-        of = lambda sign: F.size(F.filter(got, lambda g: g["n"] == sign))
-        return F.struct((state["more"] + of(1)).alias("more"), (state["less"] + of(-1)).alias("less"), F.transform(state["cells"], rest).alias("cells"))
 
-    def ended(state: Column) -> Column:
-        return F.struct(state["more"].alias("more"), state["less"].alias("less"), F.forall(state["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["s"] == 0)).alias("whole"))
+def keys(text: Column) -> Column:
+    """The keys of a text's elements, in no order, none twice."""
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), none, turn, ended)
+    def numbered(s: Column) -> Column:
+        """Keys from sorted hashes: each run of equal ones is counted from 1."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        runs = lambda at: F.zip_with(at, F.concat(F.slice(at, 2, F.size(at) - 1), F.array(F.size(s))), lambda a, end: F.transform(F.sequence(F.lit(1), end - a), lambda k: _key(F.xxhash64(F.get(s, a), k))))
+        return F.flatten(_let(starts, runs))
 
+    def keyed(d: Column) -> Column:
+        apart = F.transform(d, lambda x: _key(F.xxhash64(x, F.lit(1))))
+        return F.when(F.size(F.array_distinct(d)) == F.size(d), apart).otherwise(_let(F.sort_array(d), numbered))
 
-def _put(key: Column, sign: Column | None = None) -> Column:
-    """The cells that a key goes into, one a row."""
-    return F.explode(F.array(*[_cell(key, t) for t in range(TABLES)]))
+    return _let(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: F.xxhash64(x)), keyed)
 
 
-def _next_ids(documents: DataFrame) -> DataFrame:
-    """(doc_id, next_id, need) of each distinct doc_id: the next larger one, the smallest after the largest.
+def _at(key: str, table: int) -> str:
+    """A key's cell in a subtable."""
+    return f"(shiftrightunsigned({key}, {61 - 3 * table}) & {CELLS - 1})"
 
-    The ids alone are put into ranges; a window runs within each range, and the
-    ranges' smallest ids, of which there are as many as partitions, link them.
-    """
-    need = F.floor(F.length(whole_text()) / 4).cast("int")
-    ids = documents.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(need).alias("need"))
-    ranged = shared_checkpoint(ids.repartitionByRange("doc_id").withColumn("__p", F.spark_partition_id()))
-    # A row for each range: as many as partitions.
-    whole = Window.orderBy("lo")
-    first = ranged.groupBy("__p").agg(F.min("doc_id").alias("lo"))
-    first = first.select("__p", F.coalesce(F.lead("lo").over(whole), F.min("lo").over(whole)).alias("after"))
-    following = F.lead("doc_id").over(Window.partitionBy("__p").orderBy("doc_id"))
-    return ranged.withColumn("__lead", following).join(first, "__p").select("doc_id", "need", F.coalesce("__lead", "after").alias("next_id"))
 
+def sketch_columns(key: str, name: str = "c", of: str = "true") -> list[Column]:
+    """Aggregates: the cells of a group's keys, of those that a condition selects."""
+    return [F.bit_xor(F.expr(f"IF({of} AND {_at(key, t)} = {c}, {key}, 0L)")).alias(f"{name}{CELLS * t + c}") for t in range(TABLES) for c in range(CELLS)]
 
-def edited_versions(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, next_id, edited) of the rows with a doc_id: the last quarter of each text replaced by as much of the next document's beginning.
 
-    Both joins take the texts from one exchange by doc_id.
-    """
-    texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
-    ids = shared_checkpoint(_next_ids(documents)).select(F.col("doc_id").alias("__for"), "next_id", "need")
-    heads = texts.join(ids, F.col("doc_id") == F.col("next_id")).select("__for", "next_id", F.expr("substring(text, 1, need)").alias("__head"))
-    heads = heads.groupBy("__for", "next_id").agg(F.min("__head").alias("__head"))
-    both = texts.join(heads, F.col("doc_id") == F.col("__for")).withColumn("__n", F.floor(F.length("text") / 4).cast("int"))
-    edited = F.expr("concat(substring(text, 1, length(text) - __n), substring(__head, 1, __n))")
-    return both.select("doc_id", "text", "next_id", edited.alias("edited"))
+def cells(name: str = "c") -> list[str]:
+    return [f"{name}{i}" for i in range(TABLES * CELLS)]
 
 
-#: The lowest bits of a stored key tell which version holds it.
-OF_TEXT, OF_EDITED = 1, 2
+def peel(sketch: Column) -> Column:
+    """(got, whole): how many keys a subtracted sketch (an array of cells) gives up, and whether nothing is left."""
+    long = lambda n: F.lit(n).cast("bigint")
+    place = lambda k, t: F.shiftrightunsigned(k, 61 - 3 * t).bitwiseAND(long(CELLS - 1)).cast("int") + CELLS * t
+    mask = lambda k: reduce(Column.bitwiseOR, [F.call_function("shiftleft", long(1), place(k, t)) for t in range(TABLES)])
+    has = lambda at, i: F.call_function("shiftrightunsigned", at, i).bitwiseAND(long(1)) == 1
 
+    def turn(state: Column, _: Column) -> Column:
+        pure = F.filter(state["cells"], lambda c: (c != 0) & (_check(c) == c.bitwiseAND(long((1 << CHECK_BITS) - 1))))
+        keys = F.transform(F.array_distinct(pure), lambda k: F.struct(k.alias("k"), mask(k).alias("at")))
+        return F.when(state["live"], _let(keys, lambda keys: taken(state, keys))).otherwise(state)
 
-def held_by(keys: Column, version: int) -> Column:
-    """The keys of one version, without those bits."""
-    return F.transform(F.filter(keys, lambda k: k.bitwiseAND(F.lit(version).cast("bigint")) != 0), lambda k: k.bitwiseAND(F.lit(-4).cast("bigint")))
+    def taken(state: Column, keys: Column) -> Column:
+        rest = lambda c, i: F.aggregate(keys, c, lambda a, k: F.when(has(k["at"], i), a.bitwiseXOR(k["k"])).otherwise(a))
+        left = F.struct((state["got"] + F.size(keys)).alias("got"), F.lit(True).alias("live"), F.transform(state["cells"], rest).alias("cells"))
+        ended = F.struct(state["got"].alias("got"), F.lit(False).alias("live"), state["cells"].alias("cells"))
+        return F.when(F.size(keys) > 0, left).otherwise(ended)
 
+    start = F.struct(F.lit(0).alias("got"), F.lit(True).alias("live"), sketch.alias("cells"))
+    ended = lambda s: F.struct(s["got"].alias("got"), F.forall(s["cells"], lambda c: c == 0).alias("whole"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, ended)
 
-def _keyed(versions: DataFrame) -> DataFrame:
-    """A row a document (doc_id, row): next_id, figures, and the ``keys`` of the text and of its edited form in one array."""
-    each = F.concat(
-        F.transform(pieces(F.col("text")), lambda d: F.struct(d.alias("d"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
-        F.transform(pieces(F.col("edited")), lambda d: F.struct(d.alias("d"), F.lit(0).alias("a"), F.lit(1).alias("b"))),
-    )
-    meta = ["doc_id", "row", "next_id", "n_chars", "edited_sha256"]
-    rows = versions.select("doc_id", F.xxhash64("text").alias("row"), "next_id", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), each.alias("each")).dropDuplicates(["doc_id", "row"])
-    counted = rows.select(*meta, F.explode_outer("each").alias("e")).groupBy(*meta, F.col("e.d").alias("d")).agg(F.sum("e.a").alias("a"), F.sum("e.b").alias("b"))
-    key = lambda i: F.xxhash64("d", i).bitwiseAND(F.lit(-4).cast("bigint")) + F.when(i <= F.col("a"), OF_TEXT).otherwise(0) + F.when(i <= F.col("b"), OF_EDITED).otherwise(0)
-    own = F.when(F.col("d").isNotNull(), F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest("a", "b")), key)).otherwise(F.array().cast("array<bigint>"))
-    return counted.select(*meta, own.alias("own")).groupBy(*meta).agg(F.flatten(F.collect_list("own")).alias("keys"))
 
+def _packed(name: str) -> str:
+    """A sketch's cells as bytes."""
+    return "unhex(concat({}))".format(", ".join(f"lpad(hex({c}), 16, '0')" for c in cells(name)))
 
-def _small_sketches(keyed: DataFrame) -> DataFrame:
-    """(doc_id, row, sa, sb): the small sketches of both versions, for documents that have a key."""
-    put = keyed.select("doc_id", "row", F.explode("keys").alias("f")).select("doc_id", "row", "f", F.col("f").bitwiseAND(F.lit(-4).cast("bigint")).alias("k"))
-    put = put.select("doc_id", "row", "f", "k", _check(F.col("k")).alias("s"), _put(F.col("k")).alias("cell"))
-    cells = put.groupBy("doc_id", "row", "cell").agg(*[agg for version, name in ((OF_TEXT, "a"), (OF_EDITED, "b")) for agg in _cell_sums(version, name)])
-    side = lambda x: F.collect_list(F.when(F.col(f"n{x}") > 0, F.struct("cell", F.col(f"n{x}").alias("n"), F.coalesce(f"k{x}", F.lit(0)).alias("k"), F.coalesce(f"s{x}", F.lit(0)).alias("s"))))
-    return cells.groupBy("doc_id", "row").agg(side("a").alias("sa"), side("b").alias("sb"))
 
+@contextmanager
+def _kept_partitioning(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made here tell how their rows are dealt, and joins make use of it; an adaptive plan would not tell."""
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
-def _cell_sums(version: int, name: str) -> list[Column]:
-    own = F.col("f").bitwiseAND(F.lit(version).cast("bigint")) != 0
-    return [F.count_if(own).cast("int").alias(f"n{name}"), F.bit_xor(F.when(own, F.col("k"))).alias(f"k{name}"), F.bit_xor(F.when(own, F.col("s"))).alias(f"s{name}")]
 
+def _first_ids(ids: DataFrame) -> list[int]:
+    """Ascending doc_ids, each the first of a block of neighbours; the first is the smallest of all."""
+    blocks = min(MAX_BLOCKS, max(1, ids.count() // BLOCK_ROWS))
+    ranges = min(blocks, int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = -(-blocks // ranges)
+    cuts = F.percentile_approx("doc_id", F.array(*[F.lit(i / each) for i in range(1, each + 1)]), 100 * each)
+    found = ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("first"), cuts.alias("cuts")).collect()
+    return sorted({x for row in found for x in (row.first, *row.cuts[:-1])})
 
-def packed(cells: Column) -> Column:
-    """A sketch's cells as bytes."""
-    each = F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 8, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["s"]), 8, "0")))
-    return F.unhex(F.array_join(each, ""))
 
+def _block(doc_id: Column, firsts: Column, n: int) -> Column:
+    """The number (from 1) of the block of a doc_id, by binary search."""
+    steps = [1 << s for s in reversed(range((n - 1).bit_length()))]
+    if not steps:
+        return F.lit(1)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(1), lambda at, step: F.when((at + step <= n) & (F.get(firsts, at + step - 1) <= doc_id), at + step).otherwise(at))
 
-def _peeled(signed: DataFrame, pair: list[str], seed: int, block: Column) -> DataFrame:
-    """(pair, block, more, less, whole) of each block of larger sketches, from rows (pair, size, k, sign).
 
-    All groups hold the columns of ``pair``, by which the rows are dealt already, so nothing is shuffled.
+def edited_versions(documents: DataFrame) -> DataFrame:
+    """(block, rn, doc_id, text, keys, after, edited) of the rows with a doc_id, dealt by block; rn tells a block's rows apart.
+
+    ``after`` holds doc_id, text and keys of the next document; ``edited`` is the
+    text with its last quarter replaced by as much of that text's beginning.
     """
-    placed = signed.withColumn("block", block)
-    key = F.xxhash64("k", F.lit(seed))  # another key each time, so that another try has other places
-    put = placed.withColumn("k", key).select(*pair, "block", "sign", "k", _check(F.col("k")).alias("s"), _put(F.col("k")).alias("cell"))
-    cells = put.groupBy(*pair, "block", "cell").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("s").alias("s")).where("n <> 0 OR k <> 0 OR s <> 0")
-    sketches = cells.groupBy(*pair, "block").agg(F.collect_list(F.struct("cell", "n", "k", "s")).alias("cells"))
-    return sketches.select(*pair, "block", F.inline(F.array(peel(_dense(F.col("cells"))))))
+    texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", whole_text().alias("text"))
+    firsts = _first_ids(texts.select("doc_id"))
+    n, listed = max(1, len(firsts)), F.split(F.lit(",".join(map(str, firsts)) or "0"), ",").cast("array<bigint>")
+    own = texts.withColumn("block", _block(F.col("doc_id"), listed, n))
+    here = F.struct(F.col("block").alias("block"), F.lit(0).alias("guest"))
+    before = F.struct((F.pmod(F.col("block") - 2, F.lit(n)) + 1).alias("block"), F.lit(1).alias("guest"))
+    is_first = F.get(listed, F.col("block") - 1) == F.col("doc_id")
+    placed = own.select("doc_id", "text", F.inline(F.when(is_first, F.array(here, before)).otherwise(F.array(here))))
+    parts = min(n, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 16))
+    dealt = placed.repartition(parts, "block").select("block", "guest", "doc_id", "text", F.xxhash64("text").alias("h"))
+    keyed = dealt.select("*", F.inline(F.array(F.struct(keys(F.col("text")).alias("keys")))))
+    order = Window.partitionBy("block").orderBy("guest", "doc_id", "h")
+    led = keyed.select("block", "guest", "doc_id", "text", "keys", F.row_number().over(order).alias("rn"), F.lead(F.struct("guest", "doc_id", "text", "keys")).over(order).alias("lead"))
+    # Rows that share a doc_id all get what follows the last of them.
+    last = F.when((F.col("lead.doc_id") != F.col("doc_id")) | (F.col("lead.guest") == 1), F.col("lead"))
+    after = led.withColumn("after", F.max(last).over(Window.partitionBy("block", "guest", "doc_id"))).where("guest = 0")
+    edited = F.expr("concat(substring(text, 1, length(text) - floor(length(text) / 4)), substring(after.text, 1, cast(floor(length(text) / 4) as int)))")
+    return after.select("block", "rn", "doc_id", "text", "keys", "after", edited.alias("edited"))
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """A row a document (block, rn): its figures and the keys of the three versions."""
+    versions = edited_versions(documents)
+    made = F.inline(F.array(F.struct(F.unhex(F.sha2("edited", 256)).alias("edited_sha256"), keys(F.col("edited")).alias("b"))))
+    return versions.select("block", "rn", "doc_id", F.length("text").cast("long").alias("n_chars"), F.col("keys").alias("a"), F.col("after.keys").alias("n"), made)
+
+
+PAIR = ["block", "rn", "pair"]
+
+
+def _small(keyed: DataFrame) -> DataFrame:
+    """(block, rn, pair, f, got, whole) from the small sketches of the three versions, for documents with any key.
+
+    Pair e is the text and its edited form, x the text and the next text; f is
+    the text's sketch in the row of e and the edited form's in that of x.
+    """
+    tag = lambda i: lambda k: F.struct(F.lit(i).alias("v"), k.alias("k"))
+    put = keyed.select("block", "rn", F.inline(F.concat(*[F.transform(v, tag(i)) for i, v in enumerate(VERSIONS)])))
+    each = put.groupBy("block", "rn").agg(*[c for i, v in enumerate(VERSIONS) for c in sketch_columns("k", v, f"v = {i}")])
+    less = lambda v: ", ".join(f"{a} ^ {b}" for a, b in zip(cells("a"), cells(v), strict=True))
+    rows = [f"named_struct('pair', '{p}', 'f', {_packed(of)}, 'cells', array({less(v)}))" for p, of, v in (("e", "a", "b"), ("x", "b", "n"))]
+    return each.selectExpr("block", "rn", f"inline(array({', '.join(rows)}))").select(*PAIR, "f", F.inline(F.array(peel(F.col("cells")))))
 
 
-def differences(pairs, pair: list[str]) -> DataFrame:
-    """(pair, more, less) for pairs of key arrays: ``more`` keys are in a alone, ``less`` in b alone.
+def _larger(keyed: DataFrame, tried: DataFrame) -> DataFrame:
+    """(block, rn, pair, got): how many keys differ in the pairs that small sketches left, from parts of larger sketches.
 
-    ``pairs(failed)`` gives the rows (pair, a, b), each array without repeats:
-    all of them for None, else those whose ``pair`` is in ``failed``. Pairs
-    without a difference give no row.
+    A pair's keys are dealt among parts by a hash; each part is a sketch whose
+    cells take the keys of both versions, which is their difference.
     """
-    size = F.greatest(F.size("a") + F.size("b"), F.lit(1))
-    blocks = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ceil(F.log2(F.ceil(size / LOAD).cast("double"))).cast("int"))
-    home = F.xxhash64("k", F.lit(4))
-
-    def signed(rows: DataFrame) -> DataFrame:
-        plus = F.transform("a", lambda k: F.struct(k.alias("k"), F.lit(1).alias("sign")))
-        minus = F.transform("b", lambda k: F.struct(k.alias("k"), F.lit(-1).alias("sign")))
-        return rows.select(*pair, blocks.alias("size"), F.inline(F.concat(plus, minus)))
-
-    block_at = lambda r: home.bitwiseAND(F.col("size") * F.lit(SPLIT**r) - 1)
-    done, failed, turn = None, None, 0
-    while True:
-        rows = signed(pairs(None if failed is None else failed.select(*pair).distinct()))
-        if failed is not None:
-            rows = rows.withColumn("__block", block_at(turn - 1)).join(failed.withColumnRenamed("block", "__block"), [*pair, "__block"], "left_semi")
-        got = shared_checkpoint(_peeled(rows, pair, 5 + turn, block_at(turn)))
-        own = got.where("whole").select(*pair, "more", "less")
+    done, failed, turn = None, tried.where("NOT whole").select(*PAIR), 0
+    while not failed.isEmpty():
+        asked = failed.groupBy("block", "rn").agg(F.collect_set("pair").alias("which"))
+        both = keyed.select("block", "rn", *VERSIONS).join(asked, ["block", "rn"])
+        of = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(LOAD[p]).alias("load"), F.concat("a", v).alias("keys")) for p, v in (("e", "b"), ("x", "n"))])
+        rows = both.select("block", "rn", F.inline(F.filter(of, lambda s: F.array_contains("which", s["pair"]))))
+        rows = rows.select(*PAIR, F.ceil(F.size("keys") / F.col("load")).alias("size"), F.explode("keys").alias("k"))
+        home = lambda r: F.pmod(F.xxhash64("k", F.lit(4)), F.col("size") * F.lit(SPLIT**r))
+        if turn:
+            rows = rows.withColumn("home", home(turn - 1)).join(failed, [*PAIR, "home"], "left_semi")
+        put = rows.select(*PAIR, home(turn).alias("home"), _key(F.xxhash64("k", F.lit(5 + turn))).alias("k"))
+        sketches = put.groupBy(*PAIR, "home").agg(*sketch_columns("k"))
+        got = shared_checkpoint(sketches.select(*PAIR, "home", F.inline(F.array(peel(F.array(*cells()))))))
+        own = got.where("whole").select(*PAIR, "got")
         done = own if done is None else done.unionByName(own)
-        failed, turn = got.where("NOT whole").select(*pair, "block"), turn + 1
-        if failed.isEmpty():
-            return done.groupBy(*pair).agg(F.sum("more").alias("more"), F.sum("less").alias("less"))
+        failed, turn = got.where("NOT whole").select(*PAIR, "home"), turn + 1
+    return tried.where("false").select(*PAIR, "got") if done is None else done
+
+
+def _compared(keyed: DataFrame) -> DataFrame:
+    """(__block, __rn, fa, fb, got_e, got_x) of documents with any key."""
+    tried = shared_checkpoint(_small(keyed))
+    got = tried.where("whole").select(*PAIR, "got").unionByName(_larger(keyed, tried))
+    each = got.withColumn("f", F.lit(None).cast("binary")).unionByName(tried.select(*PAIR, F.lit(0).alias("got"), "f"))
+    of = lambda p, c: F.when(F.col("pair") == p, F.col(c))
+    sums = [F.sum(of(p, "got")).alias(f"got_{p}") for p in ("e", "x")]
+    return each.groupBy(F.col("block").alias("__block"), F.col("rn").alias("__rn")).agg(*sums, F.max(of("e", "f")).alias("fa"), F.max(of("x", "f")).alias("fb"))
 
 
-def _likeness(n_a: Column, n_b: Column, more: Column, less: Column) -> Column:
-    return F.when(n_b + more == 0, F.lit(1.0)).otherwise((n_a - more) / (n_b + more))
+def _likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
+    """What both hold against what either holds, from the numbers of elements and of those that one of the two holds."""
+    return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - differing) / (n_a + n_b + differing))
 
 
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
@@ -235,51 +251,26 @@ def fingerprint_documents(documents: DataFrame) -> DataFrame:
     document's text; texts without a piece (null, empty, blank) are alike and
     have the empty sketch. Rows with the same doc_id have the same next
     document; of several texts of a next document the one with the smallest
-    beginning counts for edits, the one with the smallest hash for likeness. A
-    row without a doc_id has no place in the order: all but its n_chars is null.
-    Other columns are ignored; an empty table gives an empty result.
+    hash counts. A row without a doc_id has no place in the order: all but its
+    n_chars is null. Other columns are ignored; an empty table gives an empty
+    result. All rows of one doc_id are in one task, which sorts them.
     """
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = shared_checkpoint(_keyed(edited_versions(source)))
-    count = lambda version: F.size(held_by(F.col("keys"), version))
-    small = _small_sketches(keyed)
-    ours = small.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), _dense(F.col("sa")).alias("sa"), _dense(F.col("sb")).alias("sb"))
-    theirs = keyed.select("doc_id", "row", count(OF_TEXT).alias("nn")).join(small.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "sa"), (F.col("doc_id") == F.col("__doc")) & (F.col("row") == F.col("__row")), "left")
-    theirs = theirs.groupBy(F.col("doc_id").alias("__next")).agg(F.min_by(F.struct("row", "nn", "sa"), "row").alias("after"))
-    meta = ["doc_id", "row", "next_id", "n_chars", "edited_sha256"]
-    sketched = keyed.select(*meta, count(OF_TEXT).alias("na"), count(OF_EDITED).alias("nb")).join(ours, (F.col("doc_id") == F.col("__doc")) & (F.col("row") == F.col("__row")), "left")
-    sketched = sketched.select(*meta, "na", "nb", *[F.coalesce(c, _zeros()).alias(c) for c in ("sa", "sb")])
-    paired = sketched.join(theirs, F.col("next_id") == F.col("__next")).select(*sketched.columns, F.col("after.row").alias("next_row"), F.col("after.nn").alias("nn"), _dense(F.col("after.sa")).alias("sn"))
-    peeled = F.inline(F.array(F.struct(peel(_subtract(F.col("sa"), F.col("sb"))).alias("e"), peel(_subtract(F.col("sa"), F.col("sn"))).alias("x"))))
-    tried = shared_checkpoint(paired.select(*meta, "na", "nb", "nn", "next_row", packed(F.col("sa")).alias("fa"), packed(F.col("sb")).alias("fb"), peeled))
-
-    # Larger sketches for the pairs that failed.
-    own, two = ["doc_id", "row"], ["next_id", "next_row", "doc_id", "row"]
-
-    def edits(failed: DataFrame | None) -> DataFrame:
-        asked = tried.where("NOT e.whole").select(*own) if failed is None else failed
-        return keyed.join(asked, own, "left_semi").select(*own, held_by(F.col("keys"), OF_TEXT).alias("a"), held_by(F.col("keys"), OF_EDITED).alias("b"))
-
-    def nexts(failed: DataFrame | None) -> DataFrame:
-        asked = tried.where("NOT x.whole").select(*two) if failed is None else failed
-        keys = keyed.select(*own, held_by(F.col("keys"), OF_TEXT).alias("a"))
-        left = keys.join(asked, own).select(*two, "a")
-        right = keys.join(asked.select(F.col("next_id").alias("doc_id"), F.col("next_row").alias("row")).distinct(), own, "left_semi").select(F.col("doc_id").alias("next_id"), F.col("row").alias("next_row"), F.col("a").alias("b"))
-        return left.join(right, ["next_id", "next_row"])
-
-    of_edit = differences(edits, own).select(F.col("doc_id").alias("__d1"), F.col("row").alias("__r1"), F.col("more").alias("em"), F.col("less").alias("el"))
-    of_next = differences(nexts, two).select(F.col("doc_id").alias("__d2"), F.col("row").alias("__r2"), F.col("more").alias("xm"), F.col("less").alias("xl"))
-    whole = tried.join(of_edit, (F.col("doc_id") == F.col("__d1")) & (F.col("row") == F.col("__r1")), "left").join(of_next, (F.col("doc_id") == F.col("__d2")) & (F.col("row") == F.col("__r2")), "left")
-    best = lambda small, large, what: F.when(F.col(small)["whole"], F.col(small)[what]).otherwise(F.coalesce(large, F.lit(0)))
+    with _kept_partitioning(documents.sparkSession):
+        keyed = shared_checkpoint(_keyed(source))
+        compared = shared_checkpoint(_compared(keyed))
+    meta = keyed.select("block", "rn", "doc_id", "n_chars", "edited_sha256", *[F.size(v).alias(f"n_{v}") for v in VERSIONS])
+    whole = meta.join(compared, (F.col("block") == F.col("__block")) & (F.col("rn") == F.col("__rn")), "left")
+    empty = F.lit(b"\0" * (8 * TABLES * CELLS))
+    differing = lambda p: F.coalesce(f"got_{p}", F.lit(0))
     out = whole.select(
-        F.col("doc_id").alias("__doc_id"),
-        F.col("row").alias("__own"),
+        "doc_id",
+        "n_chars",
         F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
-        F.base64("fa").alias("fingerprint"),
-        F.base64("fb").alias("edited_fingerprint"),
-        _likeness(F.col("na"), F.col("nb"), best("e", "em", "more"), best("e", "el", "less")).alias("near_edited"),
-        _likeness(F.col("na"), F.col("nn"), best("x", "xm", "more"), best("x", "xl", "less")).alias("near_next"),
+        F.base64(F.coalesce("fa", empty)).alias("fingerprint"),
+        F.base64(F.coalesce("fb", empty)).alias("edited_fingerprint"),
+        _likeness(F.col("n_a"), F.col("n_b"), differing("e")).alias("near_edited"),
+        _likeness(F.col("n_a"), F.col("n_n"), differing("x")).alias("near_next"),
     )
-    rows = source.select("doc_id", F.length(whole_text()).cast("long").alias("n_chars"), F.xxhash64(whole_text()).alias("__text"))
-    joined = rows.join(out, (F.col("doc_id") == F.col("__doc_id")) & (F.col("__text") == F.col("__own")), "left")
-    return joined.drop("__text", "__doc_id", "__own")
+    nameless = source.where(F.col("doc_id").isNull()).select("doc_id", F.length(whole_text()).cast("long").alias("n_chars"))
+    return out.unionByName(nameless, allowMissingColumns=True)

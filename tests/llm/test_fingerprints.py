@@ -2,16 +2,15 @@ import hashlib
 import re
 from collections import Counter
 
-from cloakwork.llm.fingerprints import FEW, PIECE, fingerprint_documents
+from cloakwork.llm.fingerprints import PIECE, fingerprint_documents
 from cloakwork.llm.queries import op5_fingerprints
 
 from .conftest import ROWS, SF
 
 
 def elements(text):
-    """A text's pieces with how often they occur, words of short texts apart from pieces."""
-    found = re.findall(PIECE, text, re.ASCII)
-    return Counter(("piece", p) for p in found) + Counter(("word", w) for w in (re.findall(r"\S+", text, re.ASCII) if len(found) < FEW else []))
+    """A text's pieces with how often they occur."""
+    return Counter(re.findall(PIECE, text, re.ASCII))
 
 
 def likeness(a, b):
