@@ -83,7 +83,7 @@ def labels_of(forest: Forest, parent: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=4)
 def train(n_pages: int = TRAIN_PAGES, seed: int = 11) -> Potentials:
     """Potentials of the greatest likelihood (with a small penalty), by Adagrad over all pages."""
-    forest = Forest()
+    forest = Forest(labelled=True)
     for page in labelled_pages(n_pages, seed):
         forest.add_page(page)
     parent, depth, group, features = forest.arrays()

@@ -2,7 +2,7 @@
 
 Only blocks become nodes; inline markup is part of its block's text. Each run of
 inline content between two block boundaries is a leaf. Elements without readable
-text (scripts, styles, controls) are left out with all they hold. End tags may be
+text (scripts, styles, controls between blocks) are left out with all they hold. End tags may be
 missing or misplaced and a page may break off anywhere.
 """
 
@@ -21,8 +21,10 @@ TAG = re.compile(
 ATTRIBUTES = re.compile(r"""(class|id|role|itemprop|aria-label|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("head noscript template svg math object canvas select button video audio map datalist".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
+DROPPED = frozenset("head noscript template svg datalist".split())
+#: Controls: left out where they stand between blocks, kept within a block's running text.
+CONTROLS = frozenset("button select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 TAGS = (
     *"html body main article section div header footer nav aside form ul ol li dl dt dd p h1 h2 h3 h4 h5 h6".split(),
@@ -65,7 +67,10 @@ N_FEATURES = 1 + (OTHER + 1) + len(HINTS) + N_DENSE
 
 @dataclass
 class Forest:
-    """The nodes of several pages, each page's in page order; a parent comes before its children."""
+    """The nodes of several pages, each page's in page order; a parent comes before its children.
+
+    ``labelled``: take ``data-label`` of drawn training pages as a label; elsewhere it is an attribute like any other.
+    """
 
     page: list[int] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
@@ -78,6 +83,7 @@ class Forest:
     label: list[int] = field(default_factory=list)  # -1: none given
     text: list[str] = field(default_factory=list)  # of leaves
     pages: int = 0
+    labelled: bool = False
 
     def _add(self, parent: int, tag: int, group: int, hints: int, label: int, text: str = "", linked: int = 0) -> int:
         at = len(self.page)
@@ -149,7 +155,7 @@ class Forest:
                     dropped = ""  # a head that nobody closed
                 if dropped or name == "head" or closing:
                     continue
-            if name in DROPPED:
+            if name in DROPPED or name in CONTROLS and not any(map(str.strip, run)):
                 if not closing and not attributes.endswith("/"):
                     dropped, depth_dropped = name, 1
                 continue
@@ -190,8 +196,10 @@ class Forest:
             if "=" in attributes:
                 for key, value in ATTRIBUTES.findall(attributes):
                     value = value.strip("\"'")
+                    key = key.lower()
                     if key == "data-label":
-                        label = int(value)
+                        if self.labelled:
+                            label = int(value)
                         continue
                     for word in WORD.findall(value):
                         kind = HINT_OF.get(word.lower())
@@ -209,7 +217,7 @@ class Forest:
         chars = np.fromiter(map(len, self.text), np.float64, n)
         words = np.fromiter((t.count(" ") + 1 if t else 0 for t in self.text), np.float64, n)
         stops = np.fromiter((t.count(". ") + t.count(", ") + (t[-1:] in ".!?:\"'") if t else 0 for t in self.text), np.float64, n)
-        signs = np.fromiter(("©" in t[:200] if t else False for t in self.text), np.float64, n)
+        signs = np.fromiter(("©" in t if t else False for t in self.text), np.float64, n)
         own = np.stack([chars, words, stops, signs, np.array(self.linked, np.float64), (chars > 0).astype(float)])
         before = np.concatenate([np.zeros((6, 1)), np.cumsum(own, axis=1)], axis=1)
         c, w, s, g, linked, leaves = before[:, end] - before[:, :-1]

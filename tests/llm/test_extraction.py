@@ -1,8 +1,14 @@
+import html
+import re
+
 import numpy as np
 
 from cloakwork.llm.extraction import Potentials, extract_main_text, labels_of, main_texts, marginals, train
 from cloakwork.llm.html_labelled import labelled_pages
 from cloakwork.llm.html_tree import N_FEATURES, N_GROUPS, Forest
+from cloakwork.llm.queries import op6_html_extraction
+
+from .conftest import SF
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
 <div class="cookie-notice">We use cookies.</div><article><h1>Tea &amp;  time</h1><p><b>First&nbsp;part<br>goes on.<p>Second &lt;part&gt;, a &#233; b.</p><div class="ad">Buy now.</div></article>
@@ -29,7 +35,7 @@ def test_a_page_with_everything():
 
 
 def test_drawn_pages_of_another_seed():
-    forest = Forest()
+    forest = Forest(labelled=True)
     for page in labelled_pages(150, 77):
         forest.add_page(page)
     parent, depth, group, features = forest.arrays()
@@ -45,3 +51,24 @@ def test_odd_pages(spark):
     by_id = {r.page_id: r.text for r in found}
     assert by_id[1] == by_id[2] == "" and by_id[8] == ("word. " * 50_000).strip()
     assert extract_main_text(source.where("page_id = -1")).count() == 0
+
+
+def test_attributes_and_inline_elements_of_everyday_pages():
+    around = "<html><body><nav class=menu><a href=/>Home</a></nav><article class=post>{}<p>" + "More words follow here, as they do. " * 6 + "</p></article><footer>All rights</footer></body></html>"
+    page = around.format("<table><tr><td data-label='Name'>First cell of the table.</td><td DATA-LABEL=2>Second cell.</td></tr></table><p>The mass is <math><mi>m</mi></math> as <object>shown</object>, so <button>press</button> on.</p>")
+    text = main_texts([page], train())[0]
+    assert "First cell of the table. Second cell. The mass is m as shown, so press on." in text
+
+
+def test_all_pages_give_their_articles(spark):
+    """The text between <article> tags, stripped of what the pages' generator puts there but is no article, equals the result."""
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    found = {r.page_id: r.text for r in op6_html_extraction(spark, SF).collect()}
+    assert found.keys() == pages.keys()
+    whole = 0
+    for i, source in pages.items():
+        inner = re.search(r"<article[^>]*>(.*)</article>", source, re.S)
+        if inner:
+            words = html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", " ", inner[1], flags=re.S))).split()
+            whole += " ".join(words).replace(" ", "") == found[i].replace(" ", "")
+    assert whole >= 0.98 * sum("<article" in x for x in pages.values())
