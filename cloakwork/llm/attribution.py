@@ -138,6 +138,8 @@ def _count(shared, pattern: str, rule: str):
             lengths, totals = [], []
             for tokens, text, cut in zip(_workers[key].encode(batch.column(1)), batch.column(1), batch.column(2), strict=True):
                 bounds = np.asarray(cut.values, dtype=np.int64) if cut.is_valid else line_bounds(text.as_py())
+                if len(bounds) < 2:
+                    bounds = np.array([0, len(text.as_py())])
                 for column, x in zip(columns, (np.arange(len(bounds) - 1), bounds[:-1], bounds[1:], attribute(tokens, bounds, rule)), strict=True):
                     column.append(x)
                 lengths.append(len(bounds) - 1)
@@ -155,8 +157,8 @@ def token_counts(documents: DataFrame, ranks_path: str, pattern: str, rule: str
     ``bounds`` is a SQL expression over ``documents`` giving a text's section
     bounds as an ascending array of code points from 0 to its length; by default
     a section is a line with its newline. Sections may be empty. A null or empty
-    text is one empty section of no tokens. A null array of bounds counts as one
-    whole section. Rows are independent: repeated and null doc_ids are kept,
+    text is one empty section of no tokens. A null array of bounds, or one of fewer
+    than two, counts as one whole section; null bounds are left out. Rows are independent: repeated and null doc_ids are kept,
     other columns are ignored, an empty table gives an empty result. With the
     rules ``start`` and ``majority`` counts are whole numbers; a document's
     counts always add up to ``doc_tokens``.
@@ -165,6 +167,7 @@ def token_counts(documents: DataFrame, ranks_path: str, pattern: str, rule: str
         raise ValueError(f"rule must be one of {RULES}")
     with open(ranks_path, "rb") as file:  # on the driver; under a MB, broadcast to the workers
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
-    cuts = F.lit(None).cast("array<long>") if bounds is None else F.coalesce(F.expr(bounds), F.array(F.lit(0), F.length(whole_text()))).cast("array<long>")
+    whole = F.array(F.lit(0), F.length(whole_text()))
+    cuts = F.lit(None).cast("array<long>") if bounds is None else F.array_compact(F.coalesce(F.expr(bounds), whole).cast("array<long>"))
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), cuts.alias("bounds"))
     return source.mapInArrow(_count(shared, pattern, rule), COUNTS_DDL)

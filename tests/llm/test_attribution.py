@@ -77,3 +77,9 @@ def test_own_bounds_and_empty_table(odd, empty):
 def test_unknown_rule(odd):
     with pytest.raises(ValueError):
         token_counts(odd, PATH, public_tokenizers.PATTERN, "nearest")
+
+
+def test_bounds_without_elements_or_with_nulls(odd):
+    for bounds in ("array()", "array(0)", "array(0, null, length(coalesce(text, '')))"):
+        rows = token_counts(odd, PATH, public_tokenizers.PATTERN, bounds=bounds).collect()
+        assert len(rows) == odd.count() and all(r.n_tokens == r.doc_tokens for r in rows)
