@@ -185,15 +185,16 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -
     """Fit a model on labelled documents that are not held out.
 
     ``labels`` has doc_id and quality (0 or 1; other values and nulls are left
-    out). Several labels of a document count as their mean, several rows of a
-    document as one each.
+    out). Several labels of a document count as their mean; of several rows of a
+    document the one whose text has the smallest hash is learnt from, so that at
+    most ``max_rows`` rows of features reach the driver.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label"))
     # At most max_rows rows of two numbers.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = sorted(joined.mapInArrow(_extract, SPARSE_DDL).collect(), key=lambda r: (r.doc_id, r.at, r.x, r.stats))[: 2 * max_rows]
+    joined = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted(joined.mapInArrow(_extract, SPARSE_DDL).collect(), key=lambda r: r.doc_id)
     at = [np.frombuffer(r.at, "<i4").astype(np.int64) for r in rows]
     bounds = np.concatenate(([0], np.cumsum([len(a) for a in at]))).astype(np.int64)
     none = np.zeros(0)

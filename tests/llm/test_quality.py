@@ -1,6 +1,10 @@
+import zlib
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from cloakwork.llm import quality
 from cloakwork.llm.quality import BUCKETS, FACTORS, Model, N_STATS, features, score_quality
 from cloakwork.llm.queries import op7_quality
 
@@ -50,3 +54,17 @@ def test_odd_rows_and_no_labels(spark, odd, clashing, empty):
             assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
         assert score_quality(empty, labels).count() == 0
     assert {r.score for r in score_quality(odd, none).collect()} == {0.5}
+
+
+def test_a_labelled_doc_id_with_many_rows_counts_once(spark):
+    rows = spark.range(3_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    others = spark.range(2, 60).select(F.col("id").alias("doc_id"), F.concat(F.lit("another text "), "id").alias("text"))
+    labels = spark.range(1, 60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    known = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    seen = []
+    before, quality.fit = quality.fit, lambda f, y: seen.append(len(y)) or before(f, y)
+    try:
+        quality.train(rows.unionByName(others), labels)
+    finally:
+        quality.fit = before
+    assert seen == [len(known)]
