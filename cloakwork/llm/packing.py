@@ -4,8 +4,8 @@ Documents longer than a sequence are cut into full sequences and a rest. Pieces
 are dealt by a hash into randomised groups of about ``GROUP`` pieces; each group
 is packed on its own, with a tournament tree whose leaves are the free space of
 the group's bins: the leftmost bin that a piece fits is found in O(log bins).
-Only (id, start, length) are shuffled, never tokens, and no task sees more than
-its group.
+Only (id, start, length) are shuffled, tokens too where they are asked for
+(``with_ids``), and no task sees more than its group.
 """
 
 from __future__ import annotations
@@ -112,12 +112,15 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 40
     the offsets of a sequence leave no gap. Equal lengths are packed in order of
     doc_id. A row with a null doc_id or a repeated one is packed like any other.
     Other columns are ignored; an empty table gives an empty result. Input rows
-    are counted once to choose the number of groups.
+    and bytes are counted once to choose the number of groups.
     """
     spark = documents.sparkSession
     with open(tokenizer_path, "rb") as file:  # on the driver; a few MB, broadcast to the workers
         spec = spark.sparkContext.broadcast(file.read())
-    groups = max(1, -(-documents.count() // GROUP))
+    # A token holds a byte at least, four or so on average: about a piece for each row and for each so many bytes.
+    size = documents.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-(size.rows + size.bytes // (4 * capacity)) // GROUP))
     pieces = documents.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(_pieces(spec, end_id, capacity, with_ids), PIECES_DDL)
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)))
+    # The row's place parts equal rows, which would all fall into one group.
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("__group").applyInArrow(_pack(capacity), PACKED_DDL)

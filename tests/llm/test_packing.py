@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cloakwork.llm.packing import first_fit_decreasing, pack_documents
@@ -47,8 +48,7 @@ def test_whole_table(spark, documents):
             at += p.length
         assert at == len(ids)
     tokens = sum(p.length for p in pieces)
-    padded = sum(min(4096, 1 << (t - 1).bit_length()) if False else 4096 for t in (sum(n for _, n in own) for own in sequences.values()))
-    assert tokens / padded > 0.95
+    assert tokens / (4096 * len(sequences)) > 0.95
 
 
 def test_odd_rows_keep_every_id(odd, clashing):
@@ -76,3 +76,10 @@ def test_first_fit_decreasing_against_scan(sizes):
         expected[i] = k
     bins, _ = first_fit_decreasing(sizes, 100)
     assert bins == [expected[i] for i in range(len(sizes))]
+
+
+def test_equal_rows_are_spread_over_groups(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    packed = pack_documents(rows, PATH, with_ids=False)
+    sizes = [r["count"] for r in packed.groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 6_000
