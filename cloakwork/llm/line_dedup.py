@@ -34,6 +34,8 @@ SPACES = " \t\n\x0b\x0c\r"
 PROBES = 4
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 SEGMENT_BITS = 1 << 20
+#: Lines whose rows are not dealt by line, at most.
+HOT_KEYS = 4096
 
 
 def filter_bits(size_in_bytes: int) -> int:
@@ -205,9 +207,14 @@ def dedup_lines(documents: DataFrame, min_chars: int = 10) -> DataFrame:
     bits = filter_bits(plan_bytes(keyed))
     shared = documents.sparkSession.sparkContext.broadcast(twice_seen(keyed, bits, min_chars).tobytes())
     suspects = shared_checkpoint(keyed.mapInArrow(_probe(shared, bits, min_chars), "doc_id long, h1 long, h2 long"))
-    firsts = suspects.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    counted = suspects.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    firsts = shared_checkpoint(counted.where("first < last").drop("last"))
+    # Fewer than HOT_KEYS lines can have more than one in HOT_KEYS of the suspects' rows: these are broadcast, so that no task holds one of them whole.
+    hot = F.col("n") > suspects.count() // HOT_KEYS
+    rest = suspects.join(F.broadcast(firsts.where(hot)), ["h1", "h2"], "left_anti").join(firsts.where(~hot), ["h1", "h2"])
     drops = (
-        suspects.join(firsts, ["h1", "h2"])
+        suspects.join(F.broadcast(firsts.where(hot)), ["h1", "h2"])
+        .unionByName(rest)
         .where("doc_id > first")
         .groupBy("doc_id")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
