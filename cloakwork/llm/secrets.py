@@ -156,8 +156,11 @@ def as_text(found: Column, kinds: tuple[str, ...] = KINDS) -> Column:
 
 
 def redact(documents: DataFrame) -> DataFrame:
-    """``documents`` with every span of ``scan_secrets`` replaced by ``[kind]``, overlapping spans as one by the first."""
-    found = scan_secrets(documents.withColumn("text", whole_text()) if "spans" not in documents.columns else documents.drop("spans").withColumn("text", whole_text()))
+    """``documents`` with every span of ``scan_secrets`` replaced by ``[kind]``, overlapping spans as one by the first.
+
+    All other columns, one named spans too, stay as they are.
+    """
+    found = scan_secrets(documents.withColumnRenamed("spans", "__own_spans").withColumn("text", whole_text()))
     name = F.array(*[F.lit(f"[{k}]") for k in KINDS])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -167,4 +170,4 @@ def redact(documents: DataFrame) -> DataFrame:
 
     state = F.aggregate("spans", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     clean = F.when(F.size("spans") > 0, state).otherwise(F.col("text"))
-    return found.withColumn("text", clean).drop("spans")
+    return found.withColumn("text", clean).drop("spans").withColumnRenamed("__own_spans", "spans").select(documents.columns)
