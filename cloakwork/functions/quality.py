@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import strip
+from .strings import let, strip
 
 MIN_CHARS = 20
 # Weights of the signals and characters that engines emit when in doubt.
@@ -15,41 +15,69 @@ VOWELS = "aeiouàèéìòùAEIOUÀÈÉÌÒÙ"
 LETTER = "A-Za-zÀ-ÿ"
 
 
+def _without(text: Column, characters: str) -> Column:
+    """How many of these characters a text has."""
+    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("double")
+
+
 def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("double")
+    return F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).cast("double")
+
+
+def _signals(t: Column) -> Column:
+    """A struct of the signals of a stripped text; each figure of the text is computed once."""
+    figures = F.struct(
+        F.length(t).cast("double").alias("total"),
+        F.size(F.split(t, r"(?U)\s+", -1)).cast("double").alias("tokens"),  # a stripped text neither begins nor ends with white space
+        F.regexp_extract_all(t, F.lit(f"[{LETTER}]{{2,}}"), F.lit(0)).alias("words"),
+        F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("double").alias("letters"),
+        _without(t, VOWELS).alias("vowels"),
+        _without(t, SUSPECT).alias("suspect"),
+        _count(t, r"(?U)[^\p{L}\p{Nd}\p{P}\s]").alias("other"),
+        _count(t, rf"(?U)(?<!\S)[{LETTER}](?!\S)").alias("isolated"),
+        _count(t, r"(?d)(.)\1{4,}").alias("repeated"),
+    )
+    one_less = lambda x: 1.0 - F.least(F.lit(1.0), x)
+
+    def signals(f: Column) -> Column:
+        words = F.size(f["words"]).cast("double")
+        average = F.when(words > 0, F.length(F.array_join(f["words"], "")) / words).otherwise(0.0)
+        share = f["vowels"] / f["letters"]
+        return F.struct(
+            ((f["total"] - f["other"]) / f["total"]).alias("alpha_density"),
+            one_less(f["suspect"] / f["total"] * 20).alias("suspect_chars"),
+            (words / f["tokens"]).alias("word_ratio"),
+            F.when(words == 0, 0.0).when(average < 2.5, 0.4).when(average > 14, 0.5).otherwise(1.0).alias("word_length"),
+            one_less(f["isolated"] / f["tokens"] * 3).alias("isolated_chars"),
+            one_less(f["repeated"] / 10).alias("repetitions"),
+            F.when(f["letters"] == 0, 0.0).when(share.between(0.2, 0.65), 1.0).otherwise(0.45).alias("vowels"),
+            average.alias("avg_word_length"),
+        )
+
+    return let(figures, signals)
 
 
 def quality_signals(text: Column) -> dict[str, Column]:
     """The seven weighted signals, and avg_word_length, of a text that passes the guards."""
-    t = strip(text)
-    total, tokens = F.length(t).cast("double"), F.greatest(_count(t, r"(?U)\S+"), F.lit(1.0))
-    words = _count(t, f"[{LETTER}]{{2,}}")
-    letters = _count(t, r"\p{L}")
-    average = F.when(words > 0, F.length(F.array_join(F.regexp_extract_all(t, F.lit(f"[{LETTER}]{{2,}}"), F.lit(0)), "")) / words).otherwise(0.0)
-    share = _count(t, f"[{VOWELS}]") / letters
-    one_less = lambda x: 1.0 - F.least(F.lit(1.0), x)
-    return {
-        "alpha_density": _count(t, r"(?U)[\p{L}\p{Nd}\p{P}\s]") / total,
-        "suspect_chars": one_less(_count(t, f"[{SUSPECT.replace('^', chr(92) + '^')}]") / total * 20),
-        "word_ratio": words / tokens,
-        "word_length": F.when(words == 0, 0.0).when(average < 2.5, 0.4).when(average > 14, 0.5).otherwise(1.0),
-        "isolated_chars": one_less(_count(t, rf"(?U)(?<!\S)[{LETTER}](?!\S)") / tokens * 3),
-        "repetitions": one_less(_count(t, r"(?d)(.)\1{4,}") / 10),
-        "vowels": F.when(letters == 0, 0.0).when(share.between(0.2, 0.65), 1.0).otherwise(0.45),
-        "avg_word_length": average,
-    }
+    found = let(strip(text), _signals)
+    return {name: found[name] for name in (*WEIGHTS, "avg_word_length")}
+
+
+def _guard(t: Column) -> Column:
+    n = F.length(t)
+    return F.when(n == 0, 0.0).when(n < MIN_CHARS, 0.35)
 
 
 def guard(text: Column) -> Column:
     """The score of an empty or very short text; null for others."""
-    n = F.length(strip(F.coalesce(text, F.lit(""))))
-    return F.when(n == 0, 0.0).when(n < MIN_CHARS, 0.35)
+    return _guard(strip(F.coalesce(text, F.lit(""))))
 
 
 def quality_score(text: Column) -> Column:
-    signals = quality_signals(text)
-    total = sum((signals[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))
-    return F.coalesce(guard(text), F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+    def total(s: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum((s[k] * w for k, w in WEIGHTS.items()), F.lit(0.0))))
+
+    return let(strip(F.coalesce(text, F.lit(""))), lambda t: F.coalesce(_guard(t), let(_signals(t), total)))
 
 
 def quality_notes(text: Column) -> Column:

@@ -17,7 +17,7 @@ from ..operators.redact import redaction_stats, replacements, rewrite, token_map
 from ..operators.screen import NerPlugin, screen, screen_summary
 
 
-@dataclass(frozen=True)
+@dataclass
 class Results:
     """Named tables of one run; all are lazy."""
 
@@ -41,21 +41,24 @@ def process(documents: DataFrame, policy: Policy | None = None, salt: bytes | No
     A document with detection_error set is treated by the policy's rule for errors.
     """
     policy = policy or Policy()
+    if master is not None and len(master) < 32:
+        raise ValueError("a master key has 32 bytes at least")
     if (salt is None) == (master is None):
         raise ValueError("give either a salt for the whole corpus or a master key for salts of documents")
     has = set(documents.columns)
     named = documents.select(
         "doc_id", "text", F.col("source_name") if "source_name" in has else F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("source_name"),
         F.col("pages") if "pages" in has else F.lit(1).alias("pages"), F.col("detection_error").isNotNull().alias("error") if "detection_error" in has else F.lit(False).alias("error"),
-        (quality if quality is not None else quality_score(F.col("text"))).alias("quality"),
     )
+    # The assessment scans each text several times: it is made once, for decisions and for warnings.
+    assessed = cut(documents.select("doc_id", (quality if quality is not None else quality_score(F.col("text"))).alias("quality")))
     # Everything below goes back to the spans, which are few against the texts: they are found once.
     spans = cut(screen(named, ner))
     key = salt if salt is not None else document_salt(master, F.col("doc_id"))
     replaced = cut(replacements(spans, policy, key))
-    decisions = decide(named, spans, policy, F.col("quality"), F.col("error"))
+    decisions = decide(named.drop("text").join(assessed, "doc_id"), spans, policy, F.col("quality"), F.col("error"))
     ambiguous = spans.groupBy("doc_id").agg(F.count_if("ambiguous").alias("__ambiguous"))
-    out = rewrite(named, replaced).join(decisions, "doc_id").join(screen_summary(named, spans), "doc_id")
+    out = rewrite(named, replaced).join(assessed, "doc_id").join(decisions, "doc_id").join(screen_summary(named, spans), "doc_id")
     out = out.join(redaction_stats(replaced), "doc_id", "left").join(emit.legend(spans, policy), "doc_id", "left").join(ambiguous, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     warned = emit.warnings_of(F.lit(ner is not None), F.lit(None).cast("string"), F.col("quality"), F.array().cast("array<long>"), F.coalesce("__ambiguous", F.lit(0)), F.col("decision"))
