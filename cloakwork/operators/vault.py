@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import _constant_pads, _hmac_hex
+from ..lineage import cut
 
 #: Cost of deriving a master key from a passphrase.
 SCRYPT = {"n": 1 << 14, "r": 8, "p": 1, "dklen": 32}
@@ -46,10 +48,22 @@ def _aad(doc_id: Column) -> Column:
     return doc_id.cast("string")
 
 
+def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.append_column("key", pa.array([os.urandom(32) for _ in range(batch.num_rows)], pa.binary()))
+
+
 def data_keys(documents: DataFrame, master: bytes) -> DataFrame:
-    """(doc_id, sealed_key): each document's key, derived from the master key and sealed with it."""
-    key = F.unhex(_hmac_hex(*_constant_pads(master + b"data"), F.col("doc_id").cast("string")))
-    return documents.select("doc_id").distinct().select("doc_id", F.aes_encrypt(key, F.lit(master), F.lit("GCM"), F.lit("DEFAULT"), F.expr("CAST('' AS BINARY)"), _aad(F.col("doc_id"))).alias("sealed_key"))
+    """(doc_id, sealed_key): a fresh random key for each document, sealed with the master key.
+
+    The keys cannot be made again. They are drawn and sealed once, into a
+    checkpoint, so that every use and every retried task sees the same ones; keep
+    the table, since maps sealed with other keys stay closed.
+    """
+    ids = documents.select("doc_id").distinct()
+    drawn = ids.mapInArrow(_drawn, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, key binary")
+    sealed = F.aes_encrypt("key", F.lit(master), F.lit("GCM"), F.lit("DEFAULT"), F.expr("CAST('' AS BINARY)"), _aad(F.col("doc_id")))
+    return cut(drawn.select("doc_id", sealed.alias("sealed_key")))
 
 
 def _opened(sealed: Column, master: bytes, doc_id: Column) -> Column:
