@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.emit import FOLDERS
 from ..operators.policy import Policy
+from ..types import lookup
 
 AUDIT_DDL = "log_id string, seq long, timestamp string, event string, payload string, prev_hash string, hash string"
 VAULT_DDL = "doc_id long, ciphertext string, created_at timestamp, ttl_days int"
@@ -21,7 +23,7 @@ PageReader = Callable[[bytes], list[str]]
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, source_name, text): each file whole. The id is a hash of the path, so it stays when a job is repeated."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_name").alias("source_name"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"), F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("source_name"))
     return files.select(F.xxhash64("p").alias("doc_id"), "source_name", F.col("value").alias("text"))
 
 
@@ -102,6 +104,33 @@ def read_settings(paths: tuple[str, ...] = ("config.env",)) -> Settings:
     return Settings(**{k: read(k, v) for k, v in found.items() if k in kinds})
 
 
+def _write_files(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = []
+            for route, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = os.path.join(folder, route, name)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.part", "w", encoding="utf-8") as file:
+                    file.write(text)
+                os.replace(f"{path}.part", path)  # a task that is tried again writes the same file anew
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    return run
+
+
+def write_markdown(rendered: DataFrame, folder: str) -> int:
+    """Each row (doc_id, source_name, decision, markdown) as a file ``stem.doc_id.safe.md`` in the folder of its decision; how many there are.
+
+    ``folder`` must be one that all executors share.
+    """
+    stem = F.regexp_replace(F.regexp_replace(F.col("source_name"), r"^.*/|\.[^.]*\z", ""), r"[^\w.-]+", "_")
+    name = F.concat(stem, F.lit("."), F.hex("doc_id"), F.lit(".safe.md"))
+    rows = rendered.select(lookup(FOLDERS, F.col("decision")).alias("route"), name.alias("name"), "markdown")
+    return rows.mapInArrow(_write_files(os.path.abspath(folder)), "path string").count()
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT_DDL).json(path)
 

@@ -41,7 +41,7 @@ def sink(output: str, audit_path: str, policy: Policy, master: bytes) -> Callabl
     return write
 
 
-def watch(spark: SparkSession, folder: str, output: str, audit_path: str, checkpoint: str, policy: Policy | None = None, master: bytes = b"", archive: str | None = None, once: bool = False) -> StreamingQuery:
+def watch(spark: SparkSession, folder: str, output: str, audit_path: str, checkpoint: str, master: bytes, policy: Policy | None = None, archive: str | None = None, once: bool = False) -> StreamingQuery:
     """Start watching; with ``once`` what is there is processed and the stream ends."""
     writer = watched(spark, folder, archive).writeStream.foreachBatch(sink(output, audit_path, policy or Policy(), master)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

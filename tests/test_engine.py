@@ -179,6 +179,8 @@ def test_vault(spark):
     left = vault.forget(keys, spark.createDataFrame([(1,)], "doc_id long"))
     assert [r.doc_id for r in vault.load(sealed, left, b"k" * 32).collect()] == [2]
     assert vault.purge_expired(sealed, F.lit("2024-06-01").cast("timestamp")).count() == 2
+    again = vault.data_keys(tokens, b"k" * 32)  # whoever holds the master key cannot make the forgotten key again
+    assert vault.load(sealed, again, b"k" * 32).count() == 0
 
 
 def test_manifests_and_markdown(spark):
@@ -245,3 +247,49 @@ def test_context_of_every_candidate(spark, tmp_path, name):
         assert docs and docs <= {r.doc_id for r in got if raw in r.raw}
         assert all(r[column] == value for r in got if raw in r.raw and r.doc_id < 8)
     assert {r[column] for r in got if r.doc_id >= 24 and r.start < 100} >= {yes} and {r[column] for r in got if r.doc_id >= 24 and r.start > 200} >= {no}
+
+
+def test_short_master_keys_are_refused(spark):
+    with pytest.raises(ValueError, match="32 bytes"):
+        process(texts(spark, "x"), master=b"short")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from cloakwork.cli import main
+
+    source, state, output = tmp_path / "in", str(tmp_path / "state"), tmp_path / "out"
+    source.mkdir()
+    (source / "letter one.txt").write_text("Scrivere a ada.lovelace@example.org, codice fiscale RSSMRA85T10A562S, oggi stesso per cortesia.", encoding="utf-8")
+    assert main(["ingest", str(source), "--state", state, "--output", str(output)], spark) in (0, 2)
+    doc_id = capsys.readouterr().out.split()[0]
+    made = list(output.rglob("*.safe.md"))
+    assert len(made) == 1 and made[0].name.startswith("letter_one.")
+    safe = made[0].read_text(encoding="utf-8")
+    assert "lovelace" not in safe
+    assert main(["rehydrate", doc_id, str(made[0]), "--state", state], spark) == 0
+    assert "ada.lovelace@example.org" in capsys.readouterr().out
+    assert main(["verify", "--state", state], spark) == 0
+    assert main(["audit", "--verify", "--state", state], spark) == 0
+    assert main(["forget", doc_id, "--state", state], spark) == 0
+    assert main(["rehydrate", doc_id, str(made[0]), "--state", state], spark) == 1
+    assert main(["audit", "--verify", "--state", state], spark) == 0
+    assert main(["forget", doc_id, "--state", state], spark) == 1
+    assert main(["prompt"]) == 0
+    capsys.readouterr()
+    main(["scan", "--text", "write to a.b@example.org"], spark)
+    assert "EMAIL" in capsys.readouterr().out
+
+
+def test_entry_point_without_the_optional_subpackage(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    check = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); assert 'screen_spans' in q and not any(k.startswith('op') or k == 'pipeline' for k in q)"
+    for gone in (False, True):
+        if gone:
+            (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
+        subprocess.run([sys.executable, "-c", check], cwd=tmp_path / "copy", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
