@@ -165,18 +165,10 @@ def clean_ocr_output(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", pages.clean_ocr_output(F.expr(FENCED)).alias("text"))
 
 
-@query(rf"""WITH p AS (SELECT conv_id, turn, turn % 5 = 0 AS has_table, left(coalesce(text, ''), CAST(20 + turn % 40 AS INT)) AS text FROM conversations),
-s AS (SELECT conv_id, turn, has_table, {STRIP} AS t FROM p)
-SELECT conv_id, turn, CASE WHEN length(t) >= 50 THEN 'text' WHEN has_table THEN 'table' WHEN regexp_matches(t, '{pages.FORMULA}') THEN 'formula' ELSE 'visual' END AS task FROM s""")
-def classify_pages(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 5 == 0).alias("has_table"), F.expr("left(coalesce(text, ''), CAST(20 + turn % 40 AS INT))").alias("text"))
-    return rows.select("conv_id", "turn", pages.task(F.col("text"), F.col("has_table")).alias("task"))
-
-
 @query(rf"""WITH p AS (SELECT conv_id, turn, turn % 5 = 0 AS has_table, coalesce(text, '') AS text FROM conversations),
 s AS (SELECT conv_id, turn, has_table, {STRIP} AS t FROM p)
 SELECT conv_id, turn, CASE WHEN length(t) >= 50 THEN 'text' WHEN has_table THEN 'table' WHEN regexp_matches(t, '{pages.FORMULA}') THEN 'formula' ELSE 'visual' END AS task FROM s""")
-def classify_whole_pages(spark, sf_dir):
+def classify_pages(spark, sf_dir):
     """``classify_pages`` over whole texts."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") % 5 == 0).alias("has_table"), "text")
     return rows.select("conv_id", "turn", pages.task(F.col("text"), F.col("has_table")).alias("task"))
@@ -315,36 +307,43 @@ def detect_card(spark, sf_dir):
     return _tally(detect.spans_of(_hits(spark, sf_dir, "CREDIT_CARD")))
 
 
-def _detector(name: str, entity_type: str):
+# RE2 has no lookaround, so the characters around a match are taken with it. Each: (query, type, pattern as group 2 of what is taken, condition on the match x).
+_AROUND_DIGITS = r"(^|[^0-9])({})($|[^0-9])"
+_AROUND_WORDS = r"(^|[^A-Za-z0-9])({})($|[^A-Za-z0-9])"
+_BARE = r"upper(regexp_replace(x, '[\s\-]', '', 'g'))"
+_TURNED = f"(substring({_BARE}, 5) || substring({_BARE}, 1, 4))"
+_MOD97 = f"list_reduce(list_transform(string_split(array_to_string(list_transform(string_split({_TURNED}, ''), lambda c: CAST(strpos('{C.ALNUM}', c) - 1 AS STRING)), ''), ''), lambda d: CAST(d AS INT)), lambda a, d: (a * 10 + d) % 97) = 1"
+_PHONES = r"(?:\+|00)39[ .\-]?(?:0\d{1,3}[ .\-]?\d{5,8}|3\d{2}[ .\-]?\d{3}[ .\-]?\d{3,4})|0\d{1,3}[ .\-]\d{5,8}|3\d{2}[ .\-]?\d{3}[ .\-]?\d{3,4}"
+_DATES = (
+    r"[0-3]?\d[/\-.][01]?\d[/\-.](?:19|20)\d{2}|(?:19|20)\d{2}[/\-.][01]?\d[/\-.][0-3]?\d"
+    r"|[0-3]?\d\s+(?:gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre)\s+(?:19|20)\d{2}"
+)
+_STREETS = (
+    r"(?:via|viale|v\.le|piazza|p\.zza|corso|c\.so|largo|vicolo|strada|località|localita|contrada)\s+[A-ZÀ-Ü][\p{L}\p{N}_''À-ü.\-]*"
+    r"(?:\s+(?:[A-ZÀ-Ü][\p{L}\p{N}_''À-ü.\-]*|d[ei'']|degli|della|delle|del)){0,4}[,\s]+n?\.?\s*\d+[/\p{L}\p{N}_]*"
+)
+_DETECTORS = (
+    ("detect_piva", "IT_PARTITA_IVA", _AROUND_DIGITS.format(r"(?:IT[\s\-]?)?\d{11}"), _LUHN_SQL("right(x, 11)")),
+    ("detect_iban", "IBAN", _AROUND_WORDS.format(r"[A-Za-z]{2}\d{2}(?:[ \-]?[A-Za-z0-9]){11,30}"), f"coalesce({_IBAN_LENGTH.replace('substring(v,', f'substring({_BARE},')} = length({_BARE}), true) AND {_MOD97}"),
+    ("detect_ts", "IT_TESSERA_SANITARIA", _AROUND_DIGITS.format(r"80380\d{15}"), "true"),
+    ("detect_targa", "IT_TARGA", _AROUND_WORDS.format(r"[A-Za-z]{2}[ \-]?\d{3}[ \-]?[A-Za-z]{2}"), f"regexp_full_match({_BARE}, '{C.PLATE}{{2}}[0-9]{{3}}{C.PLATE}{{2}}')"),
+    ("detect_phone", "PHONE", _AROUND_DIGITS.format(_PHONES), "true"),
+    ("detect_mac", "MAC_ADDRESS", r"(^|[^0-9A-Fa-f:])((?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2})($|[^0-9A-Fa-f:])", "true"),
+    ("detect_address", "ADDRESS", rf"(^|[^\p{{L}}\p{{N}}_])({_STREETS})", "true"),
+    ("detect_date", "DATE", _AROUND_DIGITS.format(_DATES), "true"),
+)
+
+
+def _detector(name: str, entity_type: str, pattern: str, condition: str):
     def run(spark, sf_dir):
-        return detect.spans_of(_hits(spark, sf_dir, entity_type)).select("doc_id", "start", "end", "text", "entity_type", "layer", "confidence")
+        return _tally(detect.spans_of(_hits(spark, sf_dir, entity_type)))
 
     QUERIES[name] = run
+    ORACLE_SQL[name] = f"{FORM_CTE}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i){pattern}', 2)) AS x FROM f)\nSELECT doc_id, x AS text, count(*) AS n FROM m WHERE {condition} GROUP BY doc_id, x"
 
 
-for _name, _type in (("detect_piva", "IT_PARTITA_IVA"), ("detect_iban", "IBAN"), ("detect_ts", "IT_TESSERA_SANITARIA"), ("detect_targa", "IT_TARGA"), ("detect_phone", "PHONE"), ("detect_mac", "MAC_ADDRESS"), ("detect_address", "ADDRESS"), ("detect_date", "DATE")):
-    _detector(_name, _type)
-
-#: Windows of text that stand for what surrounds a candidate.
-WINDOWS = "SELECT doc_id, lower(substring(text, 1, 60)) AS l, lower(substring(text, 61, 60)) AS r FROM f2"
-F2 = f"WITH f2 AS (SELECT doc_id, {_case(f'doc_id % {len(FORMS)}', FORMS)} AS text FROM documents), w AS ({WINDOWS})"
-_any = lambda c, words: " OR ".join(f"contains({c}, '{x}')" for x in words)
-
-
-def _windows(spark, sf_dir, ord_: int, entity_type: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(_case(f"doc_id % {len(FORMS)}", FORMS)).alias("text"))
-    return rows.select("doc_id", F.expr("lower(substring(text, 1, 60))").alias("left"), F.expr("lower(substring(text, 61, 60))").alias("right"), F.lit(ord_).alias("ord"), F.lit(entity_type).alias("entity_type"))
-
-
-@query(f"{F2}\nSELECT doc_id, CASE WHEN {_any('l', detect.BIRTH)} THEN 'DATE_OF_BIRTH' ELSE 'DATE' END AS entity_type FROM w")
-def refine_dob(spark, sf_dir):
-    return _windows(spark, sf_dir, 11, "DATE").select("doc_id", detect.refined_type().alias("entity_type"))
-
-
-@query(f"{F2}\nSELECT doc_id, round(least(1.0, 0.6 + CASE WHEN {_any('(l || chr(32) || r)', detect.RECOGNIZERS[7].context)} THEN 0.25 ELSE 0 END), 6) AS confidence FROM w")
-def context_boost(spark, sf_dir):
-    return _windows(spark, sf_dir, 7, "PHONE").select("doc_id", F.round(F.least(F.lit(1.0), 0.6 + F.when(detect.in_context(), detect.BOOST).otherwise(0.0)), 6).alias("confidence"))
-
+for _row in _DETECTORS:
+    _detector(*_row)
 
 @query(f"{FORM_CTE}, w AS (SELECT doc_id, unnest(string_split_regex(text, '[^A-Za-z0-9]+')) AS v FROM f), u AS (SELECT doc_id, v, upper(v) AS x FROM w WHERE length(v) = 16)\nSELECT doc_id, v AS text, count(*) AS n FROM u WHERE NOT {_CF_VALID_SQL('x')} GROUP BY doc_id, v")
 def unvalidated_candidates(spark, sf_dir):
@@ -374,27 +373,22 @@ def recovery_confidence(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(recover.recovery_confidence(F.expr("o_orderkey % 6"), F.expr("o_orderkey % 3 = 0")), 6).alias("confidence"))
 
 
-@query(f"{F2}\nSELECT doc_id, {_any('(l || chr(32) || r)', recover.HINTS['IT_CODICE_FISCALE'])} AS supported FROM w")
-def recovery_context(spark, sf_dir):
-    return _windows(spark, sf_dir, 0, "IT_CODICE_FISCALE").select("doc_id", recover.context_supports().alias("supported"))
-
-
 @query()
-def refine_dob_candidates(spark, sf_dir):
-    """``refine_dob`` for every date of the whole texts."""
+def refine_dob(spark, sf_dir):
+    """Every date of the whole texts, as a date of birth where the words before it say so."""
     return _hits(spark, sf_dir, "DATE").select("doc_id", "start", "end", "raw", detect.refined_type().alias("entity_type"))
 
 
 @query()
-def context_boost_candidates(spark, sf_dir):
-    """``context_boost`` for every telephone number of the whole texts."""
+def context_boost(spark, sf_dir):
+    """Every telephone number of the whole texts, with the confidence that words around it give."""
     boosted = F.round(F.least(F.lit(1.0), 0.6 + F.when(detect.in_context(), detect.BOOST).otherwise(0.0)), 6)
     return _hits(spark, sf_dir, "PHONE").select("doc_id", "start", "end", "raw", boosted.alias("confidence"))
 
 
 @query()
-def recovery_context_candidates(spark, sf_dir):
-    """``recovery_context`` for every tax code of the whole texts."""
+def recovery_context(spark, sf_dir):
+    """Every tax code of the whole texts, with whether words around it support a repair."""
     return _hits(spark, sf_dir, "IT_CODICE_FISCALE").select("doc_id", "start", "end", "raw", recover.context_supports().alias("supported"))
 
 
@@ -590,9 +584,8 @@ def token_map(spark, sf_dir):
 
 @query()
 def token_collision(spark, sf_dir):
-    """Short tokens of two hex digits, so that values do collide."""
-    spans = table_spans(spark, sf_dir).where(F.col("entity_type") == "EMAIL").withColumn("doc_id", F.col("doc_id") % 20)
-    return redact.replacements(spans, POLICY, SALT, token_length=2).select("doc_id", "canonical", "token").distinct()
+    """The tokens of all spans; two values of a document never share one."""
+    return redact.replacements(table_spans(spark, sf_dir), POLICY, SALT).select("doc_id", "canonical", "token").distinct()
 
 
 @query()

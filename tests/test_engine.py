@@ -216,14 +216,14 @@ def test_sources_and_stream(spark, tmp_path):
 def test_whole_pages_are_classified(spark, tmp_path):
     rows = [(1, 0, "x" * 50), (1, 1, "  " + "word " * 40), (1, 5, "short"), (1, 2, "f(x) = 2"), (1, 3, " " * 80 + "a picture"), (1, 4, None), (1, 45, "y" * 49), (1, 50, " " * 45 + "z" * 50)]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.turn: r.task for r in Q.QUERIES["classify_whole_pages"](spark, str(tmp_path)).collect()}
+    got = {r.turn: r.task for r in Q.QUERIES["classify_pages"](spark, str(tmp_path)).collect()}
     assert got == {0: "text", 1: "text", 5: "table", 2: "formula", 3: "visual", 4: "visual", 45: "table", 50: "text"}
 
 
 CONTEXTS = {
-    "refine_dob_candidates": ("entity_type", detect.BIRTH, True, "DATE_OF_BIRTH", "DATE", {"10/12/1985": "DATE_OF_BIRTH", "01-02-1990": "DATE_OF_BIRTH", "2021-03-04": "DATE"}),
-    "context_boost_candidates": ("confidence", detect.RECOGNIZERS[7].context, False, 0.85, 0.6, {"+39 348 1234567": 0.85, "3481234567": 0.85}),
-    "recovery_context_candidates": ("supported", ("codice fiscale", "cod. fiscale", "cod.fiscale", "cod. fisc", "c.f.", "cf ", "cf:", "codfisc"), False, True, False, {"RSSMRA85T1OA562S": True, "RSSMRA8ST10A562S": True, "ABCDEF12G34H567I": False}),
+    "refine_dob": ("entity_type", detect.BIRTH, True, "DATE_OF_BIRTH", "DATE", {"10/12/1985": "DATE_OF_BIRTH", "01-02-1990": "DATE_OF_BIRTH", "2021-03-04": "DATE"}),
+    "context_boost": ("confidence", detect.RECOGNIZERS[7].context, False, 0.85, 0.6, {"+39 348 1234567": 0.85, "3481234567": 0.85}),
+    "recovery_context": ("supported", ("codice fiscale", "cod. fiscale", "cod.fiscale", "cod. fisc", "c.f.", "cf ", "cf:", "codfisc"), False, True, False, {"RSSMRA85T1OA562S": True, "RSSMRA8ST10A562S": True, "ABCDEF12G34H567I": False}),
 }
 
 
@@ -293,3 +293,11 @@ def test_entry_point_without_the_optional_subpackage(tmp_path):
         if gone:
             (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
         subprocess.run([sys.executable, "-c", check], cwd=tmp_path / "copy", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
+
+
+def test_colliding_tokens_grow(spark):
+    """Tokens of one hex digit do collide; each value of a document still has its own."""
+    rows = [(1, 10 * i, 10 * i + 5, "EMAIL", f"a{i}@b.it", "regex", 0.9) for i in range(40)]
+    spans = Q.table_spans(spark, SF).limit(0).unionByName(spark.createDataFrame(rows, 'doc_id long, start int, `end` int, entity_type string, text string, layer string, confidence double'), allowMissingColumns=True)
+    got = redact.replacements(spans, Q.POLICY, Q.SALT, token_length=1).select("canonical", "token").distinct().collect()
+    assert len(got) == len({r.token for r in got}) == 40
