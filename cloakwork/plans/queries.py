@@ -700,7 +700,13 @@ def user_log(spark, sf_dir) -> DataFrame:
     return audit.chain(rows)
 
 
-@query()
+_LINK = "concat('{\"event\":\"', n.event, '\",\"payload\":', n.payload, ',\"seq\":', CAST(n.seq AS STRING), ',\"timestamp\":\"', n.timestamp, '\"}')"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT concat('user-', CAST(user_id AS STRING)) AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, concat('t', CAST(event_id AS STRING)) AS timestamp, event_type AS event, {_PAYLOAD} AS payload FROM events),
+c AS (SELECT log_id, seq, timestamp, event, payload, '{audit.GENESIS}' AS prev_hash, sha256(concat('{audit.GENESIS}', {_LINK})) AS hash FROM n WHERE seq = 1
+  UNION ALL SELECT n.log_id, n.seq, n.timestamp, n.event, n.payload, c.hash, sha256(concat(c.hash, {_LINK})) FROM c JOIN n ON n.log_id = c.log_id AND n.seq = c.seq + 1)
+SELECT * FROM c""")
 def audit_chain(spark, sf_dir):
     return user_log(spark, sf_dir)
 
