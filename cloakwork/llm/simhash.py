@@ -115,7 +115,11 @@ def keep_first(documents: DataFrame, shingle_words: int = 3) -> DataFrame:
     Of several rows with that doc_id one stays. Rows without a doc_id stay.
     """
     found = near_duplicates(documents, shingle_words)
-    ids = shared_checkpoint(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")))
+    return rows_of(documents, shared_checkpoint(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))))
+
+
+def rows_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of each doc_id in ``ids`` (__kept, __rows: how many rows have it), and all rows without a doc_id."""
     kept = documents.join(ids, F.col("doc_id") == F.col("__kept"))
     names = documents.columns
     once = kept.where("__rows = 1").select(names).unionByName(documents.where(F.col("doc_id").isNull()))
