@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that a Python worker handles at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def _folder(spark: SparkSession) -> str | None:
