@@ -22,8 +22,8 @@ from .common import regroup, whole_text
 from .tokens import WordBpe
 
 GROUP = 4096
-PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.list_(pa.int64()))])
-PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<long>"
+PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 PACKED_DDL = PIECES_DDL + ", sequence_id long, offset long"
 
 _encoders: dict[int, WordBpe] = {}
@@ -86,7 +86,7 @@ def _pieces(spec, end_id: int, capacity: int, with_ids: bool):
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     own = ids[4 * start : 4 * (start + capacity)]
-                    out.append((doc, start, len(own) // 4, zlib.crc32(own), total, np.frombuffer(own, "<u4").astype(np.int64) if with_ids else None))
+                    out.append((doc, start, len(own) // 4, zlib.crc32(own), total, np.frombuffer(own, "<i4") if with_ids else None))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), PIECES.types, strict=True)], schema=PIECES)
 
     return run
