@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from .lineage import cut
 from .operators import audit, manifest, rehydrate, screen, vault
+from .operators.pages import documents_of
 from .plans.pipeline import process
 from .sources import files
 
@@ -65,12 +66,15 @@ def _now() -> str:
 def _documents(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     if args.text is not None:
         return files.inline(spark, [sys.stdin.read() if args.text == "-" else args.text]).select(F.xxhash64("text").alias("doc_id"), F.lit("inline.txt").alias("source_name"), "text")
+    if args.pdf:
+        return cut(documents_of(files.read_pages(spark, args.path, args.reader)))
     return files.read_texts(spark, args.path)
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> int:
     state, policy = State(spark, args.state), files.read_policy(args.policy)
-    done = process(_documents(spark, args), policy, master=state.master, timestamp=_now())
+    documents = _documents(spark, args)
+    done = process(documents, policy, master=state.master, quality=F.col("quality") if args.pdf else None, timestamp=_now())
     rows = cut(done.documents)
     done.documents = rows
     files.write_markdown(done.rendered(policy).join(rows.select("doc_id", "source_name"), "doc_id"), args.output)
@@ -177,6 +181,8 @@ def parser() -> argparse.ArgumentParser:
         own = command(name, run)
         own.add_argument("path", nargs="?")
         own.add_argument("--text", help="a text, or - for standard input")
+        own.add_argument("--pdf", action="store_true", help="the path holds PDF files")
+        own.set_defaults(reader=None)
         own.add_argument("--policy")
         own.add_argument("--output", default="output")
         own.add_argument("--ttl-days", type=int, default=90)

@@ -62,6 +62,21 @@ def page_quality(pages: DataFrame) -> DataFrame:
     return scored.groupBy("doc_id").agg(F.avg("__q").alias("mean_quality"), below.alias("pages_below"))
 
 
+def documents_of(pages: DataFrame) -> DataFrame:
+    """Documents for ``process``, of the pages (source_name, source_sha256, index, text, error) of files.
+
+    Texts are cleaned page by page and assembled; ``quality`` is the pages' mean
+    and ``pages_below`` names the bad ones. A file that could not be read has no
+    pages and its error as ``detection_error``. The id is a hash of the file's path.
+    """
+    named = pages.withColumn("doc_id", F.xxhash64("source_name")).withColumn("text", clean_native_text(F.coalesce("text", F.lit(""))))
+    files = named.groupBy("doc_id").agg(F.first(F.element_at(F.split("source_name", "/"), -1)).alias("source_name"), F.first("source_sha256").alias("source_sha256"), F.count_if(F.col("error").isNull()).alias("pages"), F.max("error").alias("detection_error"))
+    readable = named.where(F.col("error").isNull())
+    figures = page_quality(readable).withColumnRenamed("mean_quality", "quality")
+    whole = files.join(assemble(readable), "doc_id", "left").join(figures, "doc_id", "left")
+    return whole.withColumns({"text": F.coalesce("text", F.lit("")), "quality": F.coalesce("quality", F.lit(0.0)), "pages_below": F.coalesce("pages_below", F.array().cast("array<long>"))})
+
+
 def extraction_stats(pages: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     kind = tier(F.col("text"), threshold)
     return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(kind == "text").alias("native_pages"), F.count_if(kind == "needs_ocr").alias("ocr_pages"), F.round(F.avg(quality_score(F.col("text"))), 3).alias("mean_quality"))

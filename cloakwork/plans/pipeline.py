@@ -34,7 +34,7 @@ class Results:
 
 
 def process(documents: DataFrame, policy: Policy | None = None, salt: bytes | None = None, master: bytes | None = None, ner: NerPlugin | None = None, quality: Column | None = None, timestamp: str = "1970-01-01T00:00:00+00:00") -> Results:
-    """Process ``documents`` (doc_id, text; source_name, pages and detection_error if there).
+    """Process ``documents`` (doc_id, text; source_name, source_sha256, pages, pages_below and detection_error if there).
 
     Tokens are keyed per document, from ``master``, unless one ``salt`` for all is
     given. ``quality`` is a column of ``documents``; by default the text is assessed.
@@ -48,6 +48,8 @@ def process(documents: DataFrame, policy: Policy | None = None, salt: bytes | No
     has = set(documents.columns)
     named = documents.select(
         "doc_id", "text", F.col("source_name") if "source_name" in has else F.concat(F.lit("document-"), F.col("doc_id").cast("string")).alias("source_name"),
+        F.col("source_sha256") if "source_sha256" in has else F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256"),
+        F.col("pages_below") if "pages_below" in has else F.array().cast("array<long>").alias("pages_below"),
         F.col("pages") if "pages" in has else F.lit(1).alias("pages"), F.col("detection_error").isNotNull().alias("error") if "detection_error" in has else F.lit(False).alias("error"),
     )
     # The assessment scans each text several times: it is made once, for decisions and for warnings.
@@ -61,9 +63,9 @@ def process(documents: DataFrame, policy: Policy | None = None, salt: bytes | No
     out = rewrite(named, replaced).join(assessed, "doc_id").join(decisions, "doc_id").join(screen_summary(named, spans), "doc_id")
     out = out.join(redaction_stats(replaced), "doc_id", "left").join(emit.legend(spans, policy), "doc_id", "left").join(ambiguous, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    warned = emit.warnings_of(F.lit(ner is not None), F.lit(None).cast("string"), F.col("quality"), F.array().cast("array<long>"), F.coalesce("__ambiguous", F.lit(0)), F.col("decision"))
+    warned = emit.warnings_of(F.lit(ner is not None), F.lit(None).cast("string"), F.col("quality"), F.col("pages_below"), F.coalesce("__ambiguous", F.lit(0)), F.col("decision"))
     rows = out.select(
-        "doc_id", "source_name", "pages", F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256"), "quality", "decision", "reasons", "blocked_entities", "review_entities",
+        "doc_id", "source_name", "pages", "source_sha256", "quality", "decision", "reasons", "blocked_entities", "review_entities",
         "n_spans", "min_confidence", "has_special_category", zero("tokens_issued"), zero("unique_tokens"), zero("generalized"), "legend", warned.alias("warnings"), "safe_text",
     )
     tokens = token_map(replaced) if policy.mode == "pseudonymize" else None

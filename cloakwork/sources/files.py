@@ -16,7 +16,7 @@ from ..types import lookup
 
 AUDIT_DDL = "log_id string, seq long, timestamp string, event string, payload string, prev_hash string, hash string"
 VAULT_DDL = "doc_id long, ciphertext string, created_at timestamp, ttl_days int"
-PAGES_DDL = "source_name string, index int, text string, error string"
+PAGES_DDL = "source_name string, source_sha256 string, index int, text string, error string"
 #: Bytes of a file to the texts of its pages.
 PageReader = Callable[[bytes], list[str]]
 
@@ -41,24 +41,27 @@ def pdf_backend(wanted: str = "auto") -> PageReader:
 
 
 def read_pages(spark: SparkSession, path: str, reader: PageReader | None = None) -> DataFrame:
-    """(source_name, index, text, error): the pages of binary files, each file opened once.
+    """(source_name, source_sha256, index, text, error): the pages of binary files, each file opened once.
 
-    A file that can't be read gives one row with ``error``, so that it is
-    blocked later on and not lost.
+    A file that can't be read or has no pages gives one row with ``error``, so
+    that it is blocked later on and not lost. The hash is that of the file's bytes.
+    Files of no bytes are not listed by Spark and give no row.
     """
     read = reader or pdf_backend()
-    schema = pa.schema([("source_name", pa.string()), ("index", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+    schema = pa.schema([("source_name", pa.string()), ("source_sha256", pa.string()), ("index", pa.int32()), ("text", pa.string()), ("error", pa.string())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, digest, content in zip(*batch.columns, strict=True):
+                own = (name.as_py(), digest.as_py())
                 try:
-                    rows = [(name, k, text, None) for k, text in enumerate(read(content))]
+                    rows = [(*own, k, text, None) for k, text in enumerate(read(content.as_py()))]
                 except Exception as error:  # noqa: BLE001
-                    rows = [(name, 0, None, str(error) or type(error).__name__)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+                    rows = [(*own, 0, None, str(error) or type(error).__name__)]
+                rows = rows or [(*own, 0, None, "no pages")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_name"), "content")
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_name"), F.sha2("content", 256).alias("sha256"), "content")
     return files.mapInArrow(extract, PAGES_DDL)
 
 

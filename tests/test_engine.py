@@ -1,5 +1,6 @@
 """The engine against SQL over the driver's tables, test vectors and plain Python."""
 
+import hashlib
 import re
 
 import duckdb
@@ -213,6 +214,36 @@ def test_sources_and_stream(spark, tmp_path):
     assert files.read_settings((str(settings),)) == files.Settings(ner_backend="gazetteer", sealed=False, text_threshold=10)
 
 
+def test_page_files_from_bytes_to_manifest(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    good = "\f".join([Q.FORMS[0] + " The applicant lives in the town named above and signs this form today.", "  ", "�" * 80 + " x"])
+    contents = {"good.pdf": good, "broken.pdf": "damaged", "empty.pdf": "%"}
+    for name, content in contents.items():
+        (folder / name).write_text(content)
+
+    def reader(data):
+        text = data.decode()
+        if text == "damaged":
+            raise ValueError("not a document")
+        return [] if text == "%" else text.split("\f")
+
+    found = pages.documents_of(files.read_pages(spark, str(folder), reader)).cache()
+    rows = {r.source_name: r for r in found.collect()}
+    assert {n: (r.pages, r.detection_error) for n, r in rows.items()} == {"good.pdf": (3, None), "broken.pdf": (0, "not a document"), "empty.pdf": (0, "no pages")}
+    assert rows["good.pdf"].pages_below == [2, 3] and 0 < rows["good.pdf"].quality < 1
+    first, last = rows["good.pdf"].text.split(pages.SEPARATOR)
+    assert first.endswith("signs this form today.") and last.endswith("x")
+    done = process(found, master=b"m" * 32, quality=F.col("quality"))
+    out = {r.source_name: r for r in done.documents.collect()}
+    assert {n: r.source_sha256 for n, r in out.items()} == {n: hashlib.sha256(c.encode()).hexdigest() for n, c in contents.items()}
+    assert out["broken.pdf"].decision == out["empty.pdf"].decision == "block"
+    assert any("2, 3" in w for w in out["good.pdf"].warnings)
+    signed = done.manifests(Policy(), b"k" * 32)
+    assert manifest.verify(signed, b"k" * 32).where("valid").count() == 3
+    found.unpersist()
+
+
 def test_whole_pages_are_classified(spark, tmp_path):
     rows = [(1, 0, "x" * 50), (1, 1, "  " + "word " * 40), (1, 5, "short"), (1, 2, "f(x) = 2"), (1, 3, " " * 80 + "a picture"), (1, 4, None), (1, 45, "y" * 49), (1, 50, " " * 45 + "z" * 50)]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
