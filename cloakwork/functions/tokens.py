@@ -66,10 +66,14 @@ def document_salt(master: bytes, doc_id: Column) -> Column:
     return _hmac_hex(*_constant_pads(master), doc_id.cast("string"))
 
 
-def token_digest(text: Column, entity_type: Column, salt: bytes | Column) -> Column:
-    """64 hex digits; ``salt`` is a constant key or a column of 32-byte keys in hex."""
+def canonical_digest(canonical: Column, entity_type: Column, salt: bytes | Column) -> Column:
+    """64 hex digits of a canonical form; ``salt`` is a constant key or a column of 32-byte keys in hex."""
     pads = _constant_pads(salt) if isinstance(salt, bytes) else _derived_pads(salt)
-    return _hmac_hex(*pads, F.concat(entity_type, F.lit("\0"), canonical_form(text, entity_type)))
+    return _hmac_hex(*pads, F.concat(entity_type, F.lit("\0"), canonical))
+
+
+def token_digest(text: Column, entity_type: Column, salt: bytes | Column) -> Column:
+    return canonical_digest(canonical_form(text, entity_type), entity_type, salt)
 
 
 def token_of(digest: Column, entity_type: Column, length: Column | int = 4, ascii_only: bool = False) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import canonical_form, generalize, token_digest, token_of
+from ..functions.tokens import canonical_digest, canonical_form, generalize, token_of
 from .policy import Policy, action_columns
 
 MAX_TOKEN = 16
@@ -24,19 +24,24 @@ def replacements(spans: DataFrame, policy: Policy, salt: bytes | Column, token_l
     more at a time, until free (16 at most).
     """
     action, target = action_columns(F.col("entity_type"), policy)
-    rows = spans.withColumn("action", action).where(F.col("action") != "keep")
-    rows = rows.withColumn("__target", target).withColumn("canonical", canonical_form(canonical_value(), F.col("entity_type"))).withColumn("__digest", token_digest(canonical_value(), F.col("entity_type"), salt))
-    tokens = F.col("action") == "pseudonymize"
-    # A value's place is that of its last occurrence; the earlier one in this order keeps its token.
-    rows = rows.withColumn("__place", F.when(tokens, F.max(F.when(tokens, F.col("start"))).over(Window.partitionBy("doc_id", "entity_type", "__digest"))))
-    length = F.lit(token_length)
-    for n in range(token_length, MAX_TOKEN, 2):
-        own = Window.partitionBy("doc_id", "entity_type", F.substring("__digest", 1, n))
-        winner = F.max_by("__digest", "__place").over(own)
-        length = F.when((length == n) & (winner != F.col("__digest")), F.lit(n + 2)).otherwise(length)
-    token = F.when(tokens, token_of(F.col("__digest"), F.col("entity_type"), length, ascii_only))
+    rows = spans.withColumn("action", action).where(F.col("action") != "keep").withColumn("__target", target)
+    rows = rows.withColumn("canonical", canonical_form(canonical_value(), F.col("entity_type"))).withColumn("__coded", F.col("action") == "pseudonymize")
+    coded = F.col("__coded")
+    # A value's place is that of its last occurrence. This window asks for documents only, so that all below share its one exchange.
+    same = Window.partitionBy("doc_id").orderBy("entity_type", "canonical").rangeBetween(Window.currentRow, Window.currentRow)
+    rows = rows.withColumn("__place", F.max(F.when(coded, F.col("start"))).over(same)).withColumn("__digest", canonical_digest(F.col("canonical"), F.col("entity_type"), salt))
+    own = F.struct("__place", "__digest")
+    alike = F.collect_set(F.when(coded, own)).over(Window.partitionBy("doc_id", "entity_type", F.substring("__digest", 1, token_length)))
+    rows = rows.withColumn("__alike", alike)
+    first = lambda n: ~F.exists("__alike", lambda r: (r > own) & (F.substring(r["__digest"], 1, n) == F.substring("__digest", 1, n)))
+    lengths = range(token_length, MAX_TOKEN, 2)
+    length = F.lit(max([token_length, *(n + 2 for n in lengths)]))
+    for n in reversed(lengths):
+        length = F.when(first(n), n).otherwise(length)
+    length = F.when(F.size("__alike") < 2, token_length).otherwise(length)
+    token = F.when(coded, token_of(F.col("__digest"), F.col("entity_type"), length, ascii_only))
     out = rows.withColumn("token", token).withColumn("replacement", F.coalesce("token", generalize(F.col("text"), F.col("__target"))))
-    return out.drop("__digest", "__place", "__target")
+    return out.drop("__coded", "__digest", "__place", "__alike", "__target")
 
 
 def token_map(replaced: DataFrame) -> DataFrame:

@@ -332,3 +332,21 @@ def test_colliding_tokens_grow(spark):
     spans = Q.table_spans(spark, SF).limit(0).unionByName(spark.createDataFrame(rows, 'doc_id long, start int, `end` int, entity_type string, text string, layer string, confidence double'), allowMissingColumns=True)
     got = redact.replacements(spans, Q.POLICY, Q.SALT, token_length=1).select("canonical", "token").distinct().collect()
     assert len(got) == len({r.token for r in got}) == 40
+
+
+def exchanges(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_tokens_need_one_exchange(spark):
+    """However many lengths a token may have, spans are dealt out by document once; the last value of equal beginnings keeps the short token."""
+    assert exchanges(Q.QUERIES["token_collision"](spark, SF)) == 1
+    spans = spark.createDataFrame([(1, at, at + 5, f"a{at // 3}@b.it", "EMAIL", None) for at in range(120)], "doc_id long, start int, end int, text string, entity_type string, corrected_text string")
+    got = {r.text: (r.token, r.canonical) for r in redact.replacements(spans, Policy(), bytes(32), token_length=1).collect()}
+    last = {}
+    for at in range(120):
+        text = f"a{at // 3}@b.it"
+        last[token_hmac(b"EMAIL\0" + text.encode(), bytes(32))] = (at, text)
+    for digest, (at, text) in last.items():
+        free = (n for n in range(1, 17, 2) if all(d[:n] != digest[:n] or place < at for d, (place, _) in last.items() if d != digest))
+        assert got[text] == (f"⟦EML_{digest[:next(free)]}⟧", text)
