@@ -87,17 +87,21 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike("|".join(re.escape(w) for w in words))
 
 
-def candidates(documents: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
+def candidates(documents: DataFrame, only: tuple[str, ...] = (), patterns: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, ord, entity_type, start, end, raw, left, right): every match of every recognizer.
 
     ``left`` and ``right`` are the lower-cased 60 characters on either side.
+    ``patterns`` stand in for those of the recognizers of these types.
     """
+    patterns = patterns or {}
+
     def numbered(k: int, found: Column) -> Column:
         return F.transform(found, lambda m: F.struct(F.lit(k).alias("ord"), m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw")))
 
     chosen = [(k, r) for k, r in enumerate(recognizers()) if not only or r.entity_type in only]
     text = F.col("text")
-    gated = lambda r: matches(text, r.pattern) if r.entity_type not in GATES else F.when(text.rlike(GATES[r.entity_type]), matches(text, r.pattern))
+    found_by = lambda r: matches(text, patterns.get(r.entity_type, r.pattern))
+    gated = lambda r: found_by(r) if r.entity_type not in GATES else F.when(text.rlike(GATES[r.entity_type]), found_by(r))
     found = [numbered(k, gated(r)) for k, r in chosen]
     none = F.array().cast("array<struct<ord:int,start:int,end:int,raw:string>>")
     each = spread(documents.select("doc_id", "text")).select("doc_id", "text", F.explode(F.flatten(F.array(*[F.coalesce(f, none) for f in found]))).alias("m"))
