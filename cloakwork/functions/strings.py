@@ -58,7 +58,7 @@ def matches(text: Column, pattern: str) -> Column:
     whole text.
     """
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raw"), gaps.alias("gaps"))
+    raw = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(v: Column) -> Column:
         steps = F.zip_with(v["raw"], F.slice(v["gaps"], 1, F.size(v["raw"])), lambda m, g: F.length(m) + g)
@@ -66,4 +66,46 @@ def matches(text: Column, pattern: str) -> Column:
         ends = let(steps, lambda x: F.zip_with(x, _running(x), lambda own, before: own + before))
         return F.zip_with(v["raw"], ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("raw")))
 
-    return F.when(text.rlike(pattern), let(both, placed))
+    return let(raw, lambda m: F.when(F.size(m) > 0, let(F.struct(m.alias("raw"), gaps.alias("gaps")), placed)))
+
+
+#: What stands for what was cut out; no recognizer matches it.
+MARK = "\ue000"
+HEAD, TAIL = 72, 160
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "ªµº")
+# A plain word of at most 15 characters and the white space behind it. Each character is named, since Java looks such classes up in one table.
+_PLAIN = rf"[{_LETTERS}|&%$#*][{_LETTERS}|&%$#*.,;'\"!?)(\-]{{0,14}}+[ \n]{{1,2}}+"
+_PIECES = rf"(?:{_PLAIN})++|[^ \n]*+[ \n]*+"
+
+
+def windows(text: Column) -> Column:
+    """A struct of ``text`` without the middle of its long runs of plain words, and ``at`` and ``by``: from which offset on how many characters are missing.
+
+    A run has no digit, no "@" or ":", no word of more than 15 characters and no
+    letters beyond Latin-1. It keeps its first 72 and last 160 characters (9
+    words at least) with MARK between them. So what holds a match is whole, if a
+    match has something that no run has, and reaches from there at most 70
+    characters to the right and 8 words to the left: an account number, the
+    longest to the right, 60 from its digits; an address 7 words before its number.
+    """
+    def cut(pieces: Column) -> Column:
+        long = lambda p: (F.length(p) > HEAD + TAIL + 1) & p.rlike(rf"\A{_PLAIN}")
+        kept = F.transform(pieces, lambda p: F.when(long(p), F.concat(F.substring(p, 1, HEAD), F.lit(MARK), F.substring(p, -TAIL, TAIL))).otherwise(p))
+        gone = F.transform(F.filter(pieces, long), lambda p: F.length(p) - (HEAD + TAIL + 1))
+        return let(F.struct(F.array_join(kept, "").alias("text"), gone.alias("gone")), placed)
+
+    def placed(v: Column) -> Column:
+        starts = let(F.transform(F.split(v["text"], MARK, -1), F.length), lambda n: F.transform(_running(n), lambda x, k: x + k))
+        by = let(v["gone"], lambda g: F.zip_with(g, _running(g), lambda own, before: own + before))
+        return F.struct(v["text"].alias("text"), F.slice(starts, 2, F.size(v["gone"])).alias("at"), by.alias("by"))
+
+    none = F.array().cast("array<int>")
+    return F.when(F.instr(text, MARK) > 0, F.struct(text.alias("text"), none.alias("at"), none.alias("by"))).otherwise(let(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), cut))
+
+
+def unwindowed(start: Column, at: Column, by: Column) -> Column:
+    """The offset in the whole text of one in ``windows``; ``at`` is searched by halves."""
+    n = F.size(at)
+    step = lambda low, k: F.when(F.get(at, low + F.call_function("shiftleft", F.lit(1), k) - 1) <= start, low + F.call_function("shiftleft", F.lit(1), k)).otherwise(low)
+    found = F.aggregate(F.sequence(F.length(F.bin(n.cast("long"))) - 1, F.lit(0), F.lit(-1)), F.lit(0), step)
+    return F.when(n == 0, start).otherwise(start + F.coalesce(F.get(by, found - 1), F.lit(0)))

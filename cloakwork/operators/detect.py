@@ -1,7 +1,9 @@
 """Recognizers: text to rows of candidates and spans.
 
-Every recognizer's pattern runs once over a text, in Catalyst; all matches leave
-the document in one explode, each with the 60 characters to its left and right.
+Every recognizer's pattern runs once over a text, in Catalyst, less the middle of
+long runs of plain words (``strings.windows``), in which none has a match; all
+matches leave the document in one explode, each with the 60 characters to its
+left and right.
 What follows (validators, context, confidence) are plain expressions on small
 rows, and the text itself is not carried along. No shuffle is needed.
 """
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checksums import VALIDATORS
-from ..functions.strings import matches
+from ..functions.strings import matches, unwindowed, windows
 from ..lineage import once, spread
 from ..types import CHECKSUM, REGEX, SPANS_DDL
 
@@ -34,7 +36,7 @@ class Recognizer:
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _SEP = r"[ .\-]?"
-# Shapes, words of context and confidences of the recognizers, in their order.
+# Shapes, words of context and confidences of the recognizers, in their order. A look at the first character comes before slower ones to the left.
 RECOGNIZERS: tuple[Recognizer, ...] = (
     Recognizer("IT_CODICE_FISCALE", r"(?<![A-Za-z0-9])[A-Za-z0-9]{16}(?![A-Za-z0-9])", 0.5, ("codice fiscale", "c.f.", "cod. fisc", "cf:", "cod.fisc")),
     Recognizer("IT_PARTITA_IVA", r"(?iU)(?<![0-9])(?:IT[\s\-]?)?\d{11}(?![0-9])", 0.5, ("partita iva", "p. iva", "p.iva", "vat", "partita i.v.a")),
@@ -45,10 +47,10 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     Recognizer("EMAIL", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}(?![A-Za-z])", 0.95, (), True),
     Recognizer(
         "PHONE",
-        rf"(?U)(?<![0-9])(?:(?:\+|00)39{_SEP}(?:0\d{{1,3}}{_SEP}\d{{5,8}}|3\d{{2}}{_SEP}\d{{3}}{_SEP}\d{{3,4}})|0\d{{1,3}}[ .\-]\d{{5,8}}|3\d{{2}}{_SEP}\d{{3}}{_SEP}\d{{3,4}})(?![0-9])",
+        rf"(?U)(?=[+03])(?<![0-9])(?:(?:\+|00)39{_SEP}(?:0\d{{1,3}}{_SEP}\d{{5,8}}|3\d{{2}}{_SEP}\d{{3}}{_SEP}\d{{3,4}})|0\d{{1,3}}[ .\-]\d{{5,8}}|3\d{{2}}{_SEP}\d{{3}}{_SEP}\d{{3,4}})(?![0-9])",
         0.6, ("tel", "telefono", "cell", "cellulare", "fax", "mobile"), True,
     ),
-    Recognizer("IP_ADDRESS", rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])", 0.85, (), True),
+    Recognizer("IP_ADDRESS", rf"(?=[0-9])(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])", 0.85, (), True),
     Recognizer("MAC_ADDRESS", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])", 0.9, (), True),
     Recognizer(
         "ADDRESS",
@@ -58,7 +60,7 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
     ),
     Recognizer(
         "DATE",
-        r"(?iuU)(?<![0-9])(?:[0-3]?\d[/\-.][01]?\d[/\-.](?:19|20)\d{2}|(?:19|20)\d{2}[/\-.][01]?\d[/\-.][0-3]?\d"
+        r"(?iuU)(?=\d)(?<![0-9])(?:[0-3]?\d[/\-.][01]?\d[/\-.](?:19|20)\d{2}|(?:19|20)\d{2}[/\-.][01]?\d[/\-.][0-3]?\d"
         r"|[0-3]?\d\s+(?:gennaio|febbraio|marzo|aprile|maggio|giugno|luglio|agosto|settembre|ottobre|novembre|dicembre)\s+(?:19|20)\d{2})(?![0-9])",
         0.8, ("nato", "nata", "data di nascita", "nascita"), True,
     ),
@@ -95,16 +97,26 @@ def candidates(documents: DataFrame, only: tuple[str, ...] = (), patterns: dict[
     """
     patterns = patterns or {}
 
-    def numbered(k: int, found: Column) -> Column:
-        return F.transform(found, lambda m: F.struct(F.lit(k).alias("ord"), m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw")))
+    whole, near = F.col("text"), F.col("near.text")
+
+    def numbered(k: int, r: Recognizer) -> Column:
+        # Recognizers that were added may match anything, so they read the whole text.
+        own = k < len(RECOGNIZERS)
+        text, pattern = near if own else whole, patterns.get(r.entity_type, r.pattern)
+        found = matches(text, pattern) if r.entity_type not in GATES or not own else F.when(text.rlike(GATES[r.entity_type]), matches(text, pattern))
+
+        def row(m: Column) -> Column:
+            start = unwindowed(m["start"], F.col("near.at"), F.col("near.by")) if own else m["start"]
+            return F.struct(F.lit(k).alias("ord"), start.alias("start"), F.length(m["raw"]).alias("n"), m["raw"].alias("raw"))
+
+        return F.transform(found, row)
 
     chosen = [(k, r) for k, r in enumerate(recognizers()) if not only or r.entity_type in only]
-    text = F.col("text")
-    found_by = lambda r: matches(text, patterns.get(r.entity_type, r.pattern))
-    gated = lambda r: found_by(r) if r.entity_type not in GATES else F.when(text.rlike(GATES[r.entity_type]), found_by(r))
-    found = [numbered(k, gated(r)) for k, r in chosen]
-    none = F.array().cast("array<struct<ord:int,start:int,end:int,raw:string>>")
-    each = spread(documents.select("doc_id", "text")).select("doc_id", "text", F.explode(F.flatten(F.array(*[F.coalesce(f, none) for f in found]))).alias("m"))
+    found = [numbered(k, r) for k, r in chosen]
+    none = F.array().cast("array<struct<ord:int,start:int,n:int,raw:string>>")
+    rows = once(spread(documents.select("doc_id", "text")), near=windows(whole))
+    each = rows.select("doc_id", "text", F.explode(F.flatten(F.array(*[F.coalesce(f, none) for f in found]))).alias("m"))
+    each = each.select("doc_id", "text", F.struct("m.ord", "m.start", (F.col("m.start") + F.col("m.n")).alias("end"), "m.raw").alias("m"))
     left = F.lower(F.expr("substring(text, greatest(m.start - 60, 0) + 1, m.start - greatest(m.start - 60, 0))"))
     right = F.lower(F.expr("substring(text, m.end + 1, 60)"))
     name = F.element_at(F.array(*[F.lit(r.entity_type) for r in recognizers()]), F.col("m.ord") + 1)

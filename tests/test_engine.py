@@ -363,3 +363,33 @@ def test_detectors_take_separators_as_sql_does(spark, tmp_path):
         assert plain(Q.QUERIES[name](spark, str(tmp_path)).toPandas()) == plain(db.execute(Q.ORACLE_SQL[name]).df()), name
     # Screening finds what SQL leaves out.
     assert detect.spans_of(detect.candidates(texts(spark, "10.0.0.1 10.0.0.2 10.0.0.3"), ("IP_ADDRESS",))).count() == 3
+
+
+def test_windows_lose_no_match(spark):
+    """Long runs of plain words are cut before recognizers read a text; with MARK in it, a text is read whole."""
+    import random
+
+    from cloakwork.functions.strings import MARK, windows
+
+    rng = random.Random(5)
+    words = "via Roma della stessa casa , e poi il vicolo dei Rossi n. parola Città “così” | a ABCDEFGHIJKLMNOP abcdefghijklmnopqrstu über x\u00a0y 😀".split(" ")
+    values = [form.split(": ")[-1] for form in Q.FORMS] + ["IT60" + " X" * 30, "via " + "Casa " * 5 + ", n. 12", "AB 123 CD", "a@b.it", "AA:BB:CC:DD:EE:FF", "5\u3000marzo 2020", "IT 00743110157", "9"]
+    rows = []
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts += [rng.choice(words) for _ in range(rng.choice((0, 3, 40, 120)))] + ["plain words"] * rng.choice((0, 30, 60)) + [rng.choice(values)]
+        rows.append(rng.choice((" ", " ", "\n", "  ")).join(parts))
+    documents = texts(spark, *rows, None, "")
+    assert documents.select(windows(F.col("text"))["text"].alias("w")).where(F.instr("w", MARK) > 0).count() > 50
+    found = lambda d: sorted(tuple(r)[:6] for r in detect.candidates(d).collect())
+    whole = documents.withColumn("text", F.concat("text", F.lit(f" {MARK}")))
+    assert found(documents) == found(whole) and len(found(documents)) > 300
+
+
+def test_time_of_detection_on_plain_words(spark):
+    """What recognizers read of a long text without identifiers does not grow with it."""
+    from cloakwork.functions.strings import windows
+
+    row = texts(spark, "plain words " * 20_000 + "a@b.it").select(windows(F.col("text")).alias("w")).first().w
+    assert len(row.text) < 300 and row.at[0] + row.by[0] > 239_000
