@@ -154,6 +154,9 @@ def unvalidated(found: DataFrame) -> DataFrame:
     return validated(found).where(~F.col("valid"))
 
 
+SPAN = ("start", "end", "text", "entity_type", "layer", "confidence", "ocr_corrected", "corrected_text", "correction_note", "edits", "ambiguous", "ord")
+
+
 def _span() -> list[Column]:
     """A span from a candidate: a proven one with confidence 1, others by shape and context."""
     base = _by_recognizer(lambda r: F.lit(r.confidence))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.checksums import ALNUM, EVEN, MONTHS, ODD
-from ..types import OCR_RECOVERY
+from ..types import OCR_RECOVERY, UNVALIDATED
 from . import detect
 from .detect import any_of
 
@@ -156,10 +156,16 @@ def recovered_spans(failed: DataFrame) -> DataFrame:
     return asked.where(F.col("fix.corrected").isNotNull()).select("doc_id", *_span())
 
 
-def all_spans(checked: DataFrame) -> DataFrame:
-    """Plain and repaired spans of the candidates of ``detect.validated`` in one pass; only failed ones are searched."""
+def all_spans(checked: DataFrame, with_failed: bool = False) -> DataFrame:
+    """Plain and repaired spans of the candidates of ``detect.validated`` in one pass; only failed ones are searched.
+
+    ``with_failed`` adds a row of layer "unvalidated" for each candidate whose checksum fails.
+    """
     failed = ~F.coalesce("valid", F.lit(True)) & F.col("entity_type").isin(*SHAPES)
     fixed = checked.withColumn("fix", repaired(F.when(failed, F.col("raw")), "entity_type", failed & context_supports()))
     plain = F.when(detect.emitted(), F.struct(*detect._span()))
     mended = F.when(F.col("fix.corrected").isNotNull(), F.struct(*_span()))
-    return fixed.select("doc_id", F.inline(F.array_compact(F.array(plain, mended))))
+    found = [plain, mended]
+    if with_failed:
+        found.append(F.when(~F.col("valid"), F.struct(*[F.lit(UNVALIDATED).alias("layer") if name == "layer" else c for name, c in zip(detect.SPAN, detect._span(), strict=True)])))
+    return fixed.select("doc_id", F.inline(F.array_compact(F.array(*found))))

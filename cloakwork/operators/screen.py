@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from ..types import NER, is_special
-from .detect import candidates, unvalidated, validated
+from ..types import NER, UNVALIDATED, is_special
+from .detect import candidates, validated
 from .recover import all_spans
 from .resolve import resolve_overlaps
 
@@ -65,11 +65,12 @@ def screen_summary(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
 def screen_stats(documents: DataFrame, ner: NerPlugin | None = None) -> DataFrame:
     """One row of figures over all documents: characters, hits of each layer, recoveries, and spans that overlaps cost."""
-    found = candidates(documents)
-    every = cut(detected_spans(documents, ner))
+    # Texts are read once for spans and for candidates that are none.
+    rows = all_spans(validated(candidates(documents)), with_failed=True)
+    rows = cut(rows if ner is None else rows.unionByName(_from_plugin(ner(documents))))
+    every, failed = rows.where(F.col("layer") != UNVALIDATED), rows.where(F.col("layer") == UNVALIDATED).agg(F.count("*").alias("unvalidated"))
     layers = every.agg(*[F.count_if(F.col("layer").isin(*names)).alias(key) for key, names in (("regex_hits", ("regex", "checksum")), ("recovered", ("ocr_recovery",)), ("ner_hits", ("ner",)))], F.count_if("ambiguous").alias("recovered_ambiguous"), F.count("*").alias("detected"))
     kept = resolve_overlaps(every).agg(F.count("*").alias("total"))
-    failed = unvalidated(found).agg(F.count("*").alias("unvalidated"))
     chars = documents.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("chars"))
     one = chars.crossJoin(layers).crossJoin(kept).crossJoin(failed)  # one row each
     return one.select("chars", "regex_hits", "unvalidated", "recovered", "recovered_ambiguous", "ner_hits", "total", (F.col("detected") - F.col("total")).alias("dropped"), F.lit(ner is not None).alias("ner_enabled"))

@@ -39,6 +39,7 @@ CHECKSUM_TYPES = ("IT_CODICE_FISCALE", "IT_PARTITA_IVA", "IBAN", "CREDIT_CARD")
 SPECIAL_PREFIX = "GDPR_ART9_"
 
 REGEX, CHECKSUM, OCR_RECOVERY, NER = "regex", "checksum", "ocr_recovery", "ner"
+UNVALIDATED = "unvalidated"  # no layer of spans: candidates whose checksum fails, where figures need them
 ACTIONS = ("pseudonymize", "generalize", "block", "review", "keep")
 DECISIONS = ("allow", "review", "block")  # by severity
 RELIABLE = 0.75

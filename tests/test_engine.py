@@ -393,3 +393,10 @@ def test_time_of_detection_on_plain_words(spark):
 
     row = texts(spark, "plain words " * 20_000 + "a@b.it").select(windows(F.col("text")).alias("w")).first().w
     assert len(row.text) < 300 and row.at[0] + row.by[0] > 239_000
+
+
+def test_screen_stats_detect_once(spark):
+    documents = texts(spark, *Q.FORMS, None)
+    stats = screen.screen_stats(documents)
+    assert "regexp_extract_all" not in stats._jdf.queryExecution().executedPlan().toString()
+    assert stats.first().unvalidated == detect.unvalidated(detect.candidates(documents)).count() > 0
