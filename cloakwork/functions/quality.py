@@ -29,10 +29,10 @@ def _signals(t: Column) -> Column:
     figures = F.struct(
         F.length(t).cast("double").alias("total"),
         F.size(F.split(t, r"(?U)\s+", -1)).cast("double").alias("tokens"),  # a stripped text neither begins nor ends with white space
-        F.regexp_extract_all(t, F.lit(f"[{LETTER}]{{2,}}"), F.lit(0)).alias("words"),
+        let(F.regexp_extract_all(t, F.lit(f"[{LETTER}]{{2,}}"), F.lit(0)), lambda w: F.struct(F.size(w).cast("double").alias("n"), F.length(F.array_join(w, "")).alias("chars"))).alias("words"),
         F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("double").alias("letters"),
         _without(t, VOWELS).alias("vowels"),
-        _without(t, SUSPECT).alias("suspect"),
+        F.when(t.rlike(f"[{SUSPECT.replace('^', '')}^]"), _without(t, SUSPECT)).otherwise(0.0).alias("suspect"),
         _count(t, r"(?U)[^\p{L}\p{Nd}\p{P}\s]").alias("other"),
         _count(t, rf"(?U)(?<!\S)[{LETTER}](?!\S)").alias("isolated"),
         _count(t, r"(?d)(.)\1{4,}").alias("repeated"),
@@ -40,8 +40,8 @@ def _signals(t: Column) -> Column:
     one_less = lambda x: 1.0 - F.least(F.lit(1.0), x)
 
     def signals(f: Column) -> Column:
-        words = F.size(f["words"]).cast("double")
-        average = F.when(words > 0, F.length(F.array_join(f["words"], "")) / words).otherwise(0.0)
+        words = f["words"]["n"]
+        average = F.when(words > 0, f["words"]["chars"] / words).otherwise(0.0)
         share = f["vowels"] / f["letters"]
         return F.struct(
             ((f["total"] - f["other"]) / f["total"]).alias("alpha_density"),

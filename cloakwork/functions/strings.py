@@ -12,8 +12,9 @@ PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySsZzCcCcNnRrSsZzZz
 
 
 def strip(text: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    """Without white space of any kind at the ends; a text that has none there is not gone through."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:

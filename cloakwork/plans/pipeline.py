@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..functions.quality import quality_score
 from ..functions.tokens import document_salt
-from ..lineage import cut
+from ..lineage import cut, spread
 from ..operators import audit, emit, manifest
 from ..operators.policy import Policy, decide
 from ..operators.redact import redaction_stats, replacements, rewrite, token_map
@@ -53,7 +53,7 @@ def process(documents: DataFrame, policy: Policy | None = None, salt: bytes | No
         F.col("pages") if "pages" in has else F.lit(1).alias("pages"), F.col("detection_error").isNotNull().alias("error") if "detection_error" in has else F.lit(False).alias("error"),
     )
     # The assessment scans each text several times: it is made once, for decisions and for warnings.
-    assessed = cut(documents.select("doc_id", (quality if quality is not None else quality_score(F.col("text"))).alias("quality")))
+    assessed = cut(spread(documents).select("doc_id", (quality if quality is not None else quality_score(F.col("text"))).alias("quality")))
     # Everything below goes back to the spans, which are few against the texts: they are found once.
     spans = cut(screen(named, ner))
     key = salt if salt is not None else document_salt(master, F.col("doc_id"))
